@@ -85,10 +85,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
     spans = spans.select("key", covered.alias("n_hit"))
     pairs = found.select("key", "window").distinct().join(wins.select("window", "item_id"), "window").select("key", "item_id").distinct()
     lists = pairs.groupBy("key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
-    hits = spans.join(lists, "key", "left")
-    out = rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words")).join(hits, rows["key"].eqNullSafe(hits["key"]), "left")
+    hits = spans.join(lists, "key", "left").withColumnRenamed("key", "hit_key")
+    out = rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words")).join(hits, F.col("key").eqNullSafe(F.col("hit_key")), "left")
     return out.select(
-        *([rows["key"].alias("key")] if keyed else []),
+        *(["key"] if keyed else []),
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -100,9 +100,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    bad = decontaminate(docs, items, keyed=True).filter("contaminated").select("key").distinct()
+    bad = decontaminate(docs, items, keyed=True).filter("contaminated").select(F.col("key").alias("bad")).distinct()
     mine = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text")))
-    return mine.join(bad, mine["_key"].eqNullSafe(bad["key"]), "left_anti").drop("_key")
+    return mine.join(bad, F.col("_key").eqNullSafe(F.col("bad")), "left_anti").drop("_key")
 
 
 ORACLE = r"""

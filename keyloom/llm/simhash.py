@@ -81,7 +81,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, i
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate component, the one with the smallest id, with all columns."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")
-    kept = classes(docs).groupBy("root").agg(first).select(F.col("x.doc_id").alias("id"), F.col("x.th").alias("th"))
+    kept = classes(docs).groupBy("root").agg(first).select(F.col("x.doc_id").alias("id"), F.col("x.th").alias("hash"))
     mine = docs.withColumn("_th", F.xxhash64("text"))
-    same = mine["doc_id"].eqNullSafe(kept["id"]) & (mine["_th"] == kept["th"])
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("hash"))
     return mine.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th")
