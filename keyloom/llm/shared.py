@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ..sources.shared import shared_folder, written
+
+__all__ = ["attach", "components", "normal_text", "shared_folder", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A group that holds at least one in so many of all rows is heavy.  There are
@@ -13,23 +14,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEAVY_PARTS = 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write as Parquet into the shared folder and read again."""
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def normal_text(text: Column) -> Column:
     """Null as empty, and A-Z (nothing else) in lower case."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
