@@ -1,7 +1,7 @@
 """Toxicity from a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult, threat, target, negation, reported speech,
-other).  Four small transducers rewrite the class string of a clause, and a
+Words become classes (insult, mild insult, threat, target, negation, reported
+speech, other).  Four small transducers rewrite the class string of a clause, and a
 fifth reads off what was matched; they are composed into one machine:
 
 * negation: an insult or threat within three words after a negation is negated;
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .licences import WORD_BYTES
+from .shared import written
 
 #: Seed lexicon by class.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns imbecile retard filth vermin bastard bitch asshole cunt dumbass degenerate subhuman freak parasite parasites idiota imbécil estúpido basura abruti connard ordure débile trottel arschloch abschaum dummkopf"
@@ -35,18 +36,19 @@ NEGATIONS = "not no never neither nor without isnt arent wasnt dont doesnt nicht
 REPORTS = "said says say claimed claims wrote writes called quoted reported according sagte dit dijo"
 WILLS = "will gonna going shall must should werde vais voy"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, WILL = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, WILL, MILD = range(8)
 #: Symbols after rewriting: base class plus these marks.
 NEGATED, REPORTED, AIMED = 8, 16, 32
 SPAN = 3  # words that a negation reaches over
-READINGS = ("plain", "aimed", "negated", "reported", "threat")
+READINGS = ("plain", "aimed", "negated", "reported", "threat", "mild")
 #: Weights that learning starts from and is drawn back to.
-PRIOR = {"bias": -3.0, "plain": 3.0, "aimed": 3.5, "negated": 0.5, "reported": 0.8, "threat": 2.0}
+PRIOR = {"bias": -3.0, "plain": 3.0, "aimed": 3.5, "negated": 0.5, "reported": 0.8, "threat": 2.0, "mild": 0.7}
 
 #: Bound of the labelled sample that stems and weights are learned from.
 SAMPLE = 12_000
-STEM_LENGTHS = range(3, 9)
-PRECISION = 0.985
+STEM_LENGTHS = range(3, 10)
+#: Share of toxic documents among those with a stem: from here it is an insult, from there a mild one.
+PRECISION, MILD_PRECISION = 0.985, 0.6
 _CLAUSES = re.compile(rb"[.!?;:\n]+")
 
 
@@ -76,7 +78,7 @@ class Transducer:
 
 
 def _hostile(symbol: int) -> bool:
-    return symbol & 7 in (INSULT, THREAT)
+    return symbol & 7 in (INSULT, THREAT, MILD)
 
 
 def grammar(weights: dict[str, float]) -> Transducer:
@@ -113,6 +115,8 @@ def grammar(weights: dict[str, float]) -> Transducer:
             reading = "reported"
         elif symbol & 7 == THREAT:
             reading = "threat"
+        elif symbol & 7 == MILD:
+            reading = "mild"
         else:
             reading = "aimed" if symbol & AIMED else "plain"
         return 0, READINGS.index(reading) + 1, weights[reading]
@@ -126,21 +130,22 @@ def grammar(weights: dict[str, float]) -> Transducer:
 class _Classes(dict):
     """Word to class, with the stems tried on words not seen before."""
 
-    def __init__(self, stems: set[bytes], bound: int = 400_000):
+    def __init__(self, stems: set[bytes], mild: set[bytes], bound: int = 400_000):
         super().__init__()
         self.fixed: dict[bytes, int] = {}
         for words, kind in ((WILLS, WILL), (REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, INSULT)):
             for w in words.split():
                 self.fixed[w.encode()] = kind
-        self.stems, self.bound = stems, bound
-        self.lengths = sorted({len(s) for s in stems})
+        self.stems, self.mild, self.bound = stems, mild, bound
+        self.lengths = sorted({len(s) for s in stems | mild})
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.bound:
             self.clear()
         kind = self.fixed.get(word)
         if kind is None:
-            kind = INSULT if any(word[:n] in self.stems for n in self.lengths) else OTHER
+            starts = {word[:n] for n in self.lengths}
+            kind = INSULT if starts & self.stems else MILD if starts & self.mild else OTHER
         self[word] = kind
         return kind
 
@@ -150,27 +155,32 @@ class Model:
     """Learned stems and weights; small and of bounded size, so it is shipped with the tasks."""
 
     stems: list[bytes]
+    mild: list[bytes]
     weights: dict[str, float]
 
     def __post_init__(self):
         self._ready = None
 
     def __getstate__(self):
-        return {"stems": self.stems, "weights": self.weights, "_ready": None}
+        return {"stems": self.stems, "mild": self.mild, "weights": self.weights, "_ready": None}
+
+    @staticmethod
+    def _hostile(kinds: bytes) -> bool:
+        return INSULT in kinds or MILD in kinds or THREAT in kinds
 
     def features(self, text: str | None) -> np.ndarray:
         """Number of clauses by their strongest reading."""
         out = np.zeros(len(READINGS))
         data = (text or "").encode("utf-8", "surrogatepass")
         if self._ready is None:
-            self._ready = _Classes(set(self.stems)), grammar(self.weights)
+            self._ready = _Classes(set(self.stems), set(self.mild)), grammar(self.weights)
         classes, machine = self._ready
         kinds = bytes(map(classes.__getitem__, data.translate(WORD_BYTES).split()))
-        if INSULT not in kinds and THREAT not in kinds:
+        if not self._hostile(kinds):
             return out
         for clause in _CLAUSES.split(data):
             kinds = bytes(map(classes.__getitem__, clause.replace(b"'", b"").translate(WORD_BYTES).split()))
-            if INSULT not in kinds and THREAT not in kinds:
+            if not self._hostile(kinds):
                 continue
             state, best = machine.start, (-math.inf, 0)
             for kind in kinds:
@@ -210,15 +220,30 @@ def _frame(counts: dict[bytes, list[int]]) -> pd.DataFrame:
     return pd.DataFrame({"stem": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
 
 
-def _stems(sample: DataFrame, base: float) -> list[bytes]:
-    """Shortest stems that mark toxic documents beyond chance, at high precision."""
+def _stems(sample: DataFrame, base: float) -> tuple[list[bytes], list[bytes]]:
+    """Stems that mark toxic documents beyond chance: at high precision, and at a lower one."""
     counts = sample.mapInPandas(_stem_counts, "stem binary, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    tried = counts.filter("toxic >= 3").agg(F.count("*"), F.lit(1)).first()[0]
+    tried = counts.filter("toxic >= 3").count()
     least = max(4, math.ceil((math.log(max(tried, 1)) + 1) / -math.log(max(min(base, 0.5), 1e-6))))
-    good = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
+    good = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= MILD_PRECISION * (F.col("toxic") + F.col("clean"))))
     # Bounded by the sample; the strongest few thousand at most are kept in the model.
-    found = [bytes(r.stem) for r in good.orderBy(F.desc("toxic"), "stem").limit(5000).collect()]
-    return sorted(s for s in found if not any(s[:n] in set(found) for n in range(1, len(s))))
+    found = {bytes(r.stem): (r.toxic, r.clean) for r in good.orderBy(F.desc("toxic"), "stem").limit(20_000).collect()}
+    sure = _widest({s: t for s, (t, c) in found.items() if t >= PRECISION * (t + c)}, set())
+    return sure, _widest({s: t for s, (t, _) in found.items()}, set(sure))
+
+
+def _widest(found: dict[bytes, int], known: set[bytes]) -> list[bytes]:
+    """Shortest stems that no known or other stem begins; each grown while it loses almost no document."""
+    out = []
+    for stem in sorted(found, key=len):
+        if any(stem[:n] in known for n in range(1, len(stem) + 1)):
+            continue
+        known.add(stem)
+        grown = stem
+        while longer := [t for t in found if len(t) == len(grown) + 1 and t.startswith(grown) and found[t] >= 0.95 * found[stem]]:
+            grown = longer[0]
+        out.append(grown)
+    return sorted(out)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
@@ -243,13 +268,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
     # At most ``sample`` ids: a fixed bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = rows.repartition(24)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Copies of one text are one witness: near copies share their least shingle hash.
+    # The words are a lambda's variable, so that they are split once.
+    words = F.array(F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    hashes = F.transform(words, lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))))
+    rows = rows.groupBy(hashes[0].alias("sketch"), "toxic").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
+    rows = written(rows.select("text", "toxic").repartition(24), "toxicity-sample")
     seen = rows.agg(F.count("*"), F.sum("toxic")).first()
     n, toxic = seen[0], seen[1] or 0
     if toxic < 4 or n - toxic < 4:
-        return Model([], dict(PRIOR))
-    model = Model(_stems(rows, toxic / n), dict(PRIOR))
+        return Model([], [], dict(PRIOR))
+    model = Model(*_stems(rows, toxic / n), dict(PRIOR))
 
     def features(batches):
         for b in batches:
@@ -257,9 +287,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame(x, columns=list(READINGS)).assign(toxic=b["toxic"].to_numpy())
 
     counted = rows.mapInPandas(features, ", ".join(f"{r} double" for r in READINGS) + ", toxic int").groupBy(*READINGS, "toxic").count()
-    found = counted.toPandas()  # at most ``sample`` rows
+    found = counted.toPandas().sort_values([*READINGS, "toxic"])  # at most ``sample`` rows
     x = np.repeat(found[list(READINGS)].to_numpy(), found["count"], axis=0)
-    return Model(model.stems, _fit(x, np.repeat(found["toxic"].to_numpy(), found["count"])))
+    return Model(model.stems, model.mild, _fit(x, np.repeat(found["toxic"].to_numpy(), found["count"])))
 
 
 def score_column(model: Model):
