@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import normal_text
+from .shared import normal_text, written
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 SIZE = 10
@@ -50,7 +50,9 @@ def occurrences(docs: DataFrame, wins: DataFrame, width: int) -> DataFrame:
     parts = wins.select("window", "n", F.explode(F.expr(f"sequence(0, n - {width})")).alias("at"))
     parts = parts.withColumn("h", F.expr(_shingle("window", "at", width)))
     # Rarity over all documents, of the benchmark's shingles only.
-    places = docs.select("key", "w", F.explode(F.expr(f"sequence(0, size(w) - {width})")).alias("pos"))
+    # An outer explode: Spark would push an inner one's emptiness test below and split every text twice.
+    at = f"IF(size(w) >= {width}, sequence(0, size(w) - {width}), NULL)"
+    places = docs.select("key", "w", F.explode_outer(F.expr(at)).alias("pos")).filter("pos IS NOT NULL")
     places = places.withColumn("h", F.expr(_shingle("w", "pos", width)))
     counts = places.select("h").join(_small(parts.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
     ranked = parts.join(counts, "h", "left").groupBy("window", "n").agg(F.min_by(F.struct("h", "at"), F.struct(F.coalesce("df", F.lit(0)), "h", "at")).alias("p"))
@@ -72,10 +74,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.col(id_col), F.xxhash64(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
     wins = windows(items, size)
     distinct = wins.select("window", "n").distinct()
-    found = occurrences(rows.filter(f"size(w) >= {SHINGLE}"), distinct.filter(f"n >= {SHINGLE}"), SHINGLE)
+    found = occurrences(rows, distinct.filter(f"n >= {SHINGLE}"), SHINGLE)
     if not wins.filter(f"n < {SHINGLE}").isEmpty():
-        short = occurrences(rows.filter("size(w) > 0"), distinct.filter(f"n < {SHINGLE}"), 1)
+        short = occurrences(rows, distinct.filter(f"n < {SHINGLE}"), 1)
         found = found.unionByName(short)
+    # Used twice below; only hits are written, so the table is small.
+    found = written(found, "window-hits")
     # Hit words: the union of the intervals, a document at a time (bounded by its own length).
     spans = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("spans"))
     covered = F.expr(
