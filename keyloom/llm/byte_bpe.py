@@ -19,7 +19,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Remembered chunks of a worker; then the memory starts again (no effect on ids).
+#: Remembered chunks of a worker's newer generation (no effect on ids).
 MEMORY = 500_000
 
 
@@ -31,14 +31,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
+    """Two generations: what is looked up again outlives a full memory."""
+
     def __init__(self, encode, bound):
         super().__init__()
-        self.encode, self.bound = encode, bound
+        self.encode, self.bound, self.old = encode, bound, {}
 
     def __missing__(self, key):
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
-        self[key] = ids = self.encode(key)
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        self[key] = ids
         return ids
 
 
@@ -58,17 +64,27 @@ class ByteBPE:
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._find = regex.compile(pattern).findall
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self._blank = " ".translate(self._letters)
         self._pieces = _Memory(self._piece, memory)
         self._chunks = _Memory(self._chunk, memory)
         self._runs = re.compile(r"\s[ \n]").search
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
+        return self._letters_ids(letters)
+
+    def _letters_ids(self, letters: str) -> bytes:
         return array(self._code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
-            return self._chunks[chunk[:-1]] + self._pieces[chunk[-1]]
+        if chunk.isalpha():
+            # Letters alone are one pre-token with their blank.
+            return self._letters_ids(self._blank + chunk) if chunk.isascii() else self._piece(" " + chunk)
+        if len(chunk) > 1:
+            if chunk[-1] in ",." and chunk[-2].isalpha():
+                return self._chunks[chunk[:-1]] + self._pieces[chunk[-1]]
+            if chunk[0] == "\n" and chunk[1:].isalpha():
+                return self._pieces["\n"] + self._pieces[chunk[1:]]
         found = self._find(chunk if chunk[:1] == "\n" else " " + chunk)
         return self._piece(found[0]) if len(found) == 1 else b"".join([self._pieces[p] for p in found])
 
