@@ -6,8 +6,6 @@ Tables hold many keys; every operator works on all of them at once.  The key is
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.patterns import glob
@@ -48,14 +46,23 @@ def indexed(table: DataFrame, order: list[Column], name: str = "idx") -> DataFra
     return table.withColumn(name, F.row_number().over(Window.partitionBy(*by(table)).orderBy(*order)) - 1)
 
 
+def first_n(table: DataFrame, order: list[Column], n: int, name: str = "idx") -> DataFrame:
+    """The first n elements of each key with their index from 0.
+
+    The filter is on the plain row number: then Spark keeps n rows a key before
+    the shuffle (a window group limit), so hot keys stay cheap.
+    """
+    ranked = table.withColumn("_rn", F.row_number().over(Window.partitionBy(*by(table)).orderBy(*order)))
+    return ranked.filter(F.col("_rn") <= n).withColumn(name, F.col("_rn") - 1).drop("_rn")
+
+
 def slice_range(table: DataFrame, order: list[Column], start: int, stop: int) -> DataFrame:
     """Elements of an inclusive index range with ``idx``.
 
-    Ranges counted from one end only need ranks from that end, so Spark keeps a
-    bounded number of rows a key before the shuffle (a window group limit).
+    Ranges counted from the head need only the first ranks of each key.
     """
     if start >= 0 and stop >= 0:
-        return indexed(table, order).filter((F.col("idx") >= start) & (F.col("idx") <= stop))
+        return first_n(table, order, stop + 1).filter(F.col("idx") >= start)
     n = F.count("*").over(Window.partitionBy(*by(table)))
     ranked = indexed(table, order).withColumn("_n", n)
     lo, hi = range_bounds(start, stop, F.col("_n"))
@@ -68,9 +75,7 @@ def limited(table: DataFrame, order: list[Column], offset: int = 0, limit: int =
         return table.limit(0)
     if offset == 0 and limit < 0:
         return table
-    end = math.inf if limit < 0 else offset + limit
-    ranked = indexed(table, order, "_k")
-    kept = ranked.filter(F.col("_k") < end) if end != math.inf else ranked
+    kept = indexed(table, order, "_k") if limit < 0 else first_n(table, order, offset + limit, "_k")
     return kept.filter(F.col("_k") >= offset).drop("_k")
 
 

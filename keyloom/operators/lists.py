@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import by, count, indexed, slice_range
+from .common import by, count, first_n, indexed, slice_range
 
 LEFT, RIGHT = "left", "right"
 
@@ -33,8 +33,8 @@ def push(l: DataFrame, new: DataFrame, side: str = RIGHT, existing_only: bool =
 
 def pop(l: DataFrame, n: int = 1, side: str = LEFT) -> tuple[DataFrame, DataFrame]:
     """LPOP, RPOP: what is popped, in pop order (``idx``), and what is left."""
-    ranked = indexed(l, _order(side == RIGHT))
-    return ranked.filter(F.col("idx") < n), ranked.filter(F.col("idx") >= n).drop("idx")
+    order = _order(side == RIGHT)
+    return first_n(l, order, n), indexed(l, order).filter(F.col("idx") >= n).drop("idx")
 
 
 def llen(l: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def llen(l: DataFrame) -> DataFrame:
 def lindex(l: DataFrame, i: int) -> DataFrame:
     """LINDEX of every list; lists too short have no row."""
     if i >= 0:
-        return indexed(l, _order()).filter(F.col("idx") == i).drop("idx", "pos")
-    return indexed(l, _order(True)).filter(F.col("idx") == -i - 1).drop("idx", "pos")
+        return first_n(l, _order(), i + 1).filter(F.col("idx") == i).drop("idx", "pos")
+    return first_n(l, _order(True), -i).filter(F.col("idx") == -i - 1).drop("idx", "pos")
 
 
 def lset(l: DataFrame, i: int, value) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import LexRange, ScoreRange
-from .common import by, count, indexed, limited, page, replace_key, requested, sample, slice_range
+from .common import by, count, first_n, indexed, limited, page, replace_key, requested, sample, slice_range
 
 
 def order(rev: bool = False) -> list[Column]:
@@ -116,7 +116,7 @@ def zrem(z: DataFrame, gone: DataFrame) -> DataFrame:
 
 def zpop(z: DataFrame, n: int = 1, highest: bool = False) -> DataFrame:
     """ZPOPMIN, ZPOPMAX: what is popped (a window group limit keeps n rows a key)."""
-    return indexed(z, order(highest)).filter(F.col("idx") < n)
+    return first_n(z, order(highest), n)
 
 
 def after_zpop(z: DataFrame, n: int = 1, highest: bool = False) -> DataFrame:
