@@ -24,7 +24,7 @@ BOILER = set("nav footer aside header form menu dialog".split())
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
 BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre article section main figure figcaption address body html hr nav footer aside header form details summary fieldset center".split())
 #: Words in class, id or role that mark boilerplate.
-MARKS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot masthead topbar header comment comments reply replies discussion disqus share sharing social related recommended pagination pager toolbar login search".split())
+MARKS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot masthead topbar header comment comments reply replies discussion disqus share sharing social related recommended pagination pager toolbar login search complementary contentinfo disclaimer".split())
 #: Elements an opening block tag closes if left open.
 _ENDS_P = BLOCKS - {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
