@@ -97,7 +97,23 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", checkpoint: str
     return df.sparkSession.table(name)
 
 
-def expiry_timers(stream: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """Active expiry: ``key, ts, expire_at``; a key's deletion is emitted when event time passes its last expiry."""
-    timed = stream.withWatermark("expire_at", watermark)
-    return timed.groupBy(F.window("expire_at", "1 second"), "key").agg(F.max("expire_at").alias("expire_at"))
+def expire_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One key's expiry: the last instant set counts; 0 persists; a timer deletes."""
+    if state.hasTimedOut:
+        (at,) = state.get
+        state.remove()
+        yield pd.DataFrame({"key": [key[0]], "expired_at_ms": [at]})
+        return
+    rows = pd.concat(list(batches)).sort_values("ts")
+    at = int(rows["expire_at_ms"].iloc[-1])
+    if at:
+        state.update((at,))
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+
+
+def expiry_timers(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Active expiry over ``key, ts, expire_at_ms``: a row a key once event time passes its expiry."""
+    timed = stream.withWatermark("ts", delay)
+    return timed.groupBy("key").applyInPandasWithState(expire_key, "key string, expired_at_ms bigint", "at bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -137,3 +137,13 @@ def test_blocking_pops(spark, tmp_path):
     stream = jobs.tail(spark, src, "queue string, seq bigint, at_ms bigint, kind string, client bigint, value string, deadline_ms bigint")
     out = jobs.run_to_table(jobs.blocking_pops(stream), "pops", "append")
     assert sorted((r.client, r.value) for r in out.collect()) == [(7, "a"), (8, None), (9, "b")]
+
+
+def test_expiry_timers(spark, tmp_path):
+    src = str(tmp_path / "x")
+    ddl = "key string, ts timestamp, expire_at_ms bigint"
+    for k, rows in enumerate([[("a", 1, 5000), ("b", 1, 6000), ("c", 1, 4000)], [("b", 3, 90_000), ("c", 3, 0)], [("d", 30, 99_000)]]):
+        df = spark.createDataFrame(rows, "key string, s int, expire_at_ms bigint")
+        df.select("key", F.timestamp_seconds("s").alias("ts"), "expire_at_ms").coalesce(1).write.mode("append").parquet(src)
+    out = jobs.run_to_table(jobs.expiry_timers(jobs.tail(spark, src, ddl, files=1)), "expiries", "append")
+    assert [(r.key, r.expired_at_ms) for r in out.collect()] == [("a", 5000)]
