@@ -20,7 +20,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Remembered chunks of a worker's newer generation (no effect on ids).
-MEMORY = 500_000
+MEMORY = 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -65,7 +65,7 @@ class ByteBPE:
         self._find = regex.compile(pattern).findall
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._blank = " ".translate(self._letters)
-        self._pieces = _Memory(self._piece, memory)
+        self._pieces = _Memory(self._piece, memory // 2)
         self._chunks = _Memory(self._chunk, memory)
         self._runs = re.compile(r"\s[ \n]").search
 

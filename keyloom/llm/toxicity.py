@@ -130,7 +130,7 @@ def grammar(weights: dict[str, float]) -> Transducer:
 class _Classes(dict):
     """Word to class, with the stems tried on words not seen before."""
 
-    def __init__(self, stems: set[bytes], mild: set[bytes], bound: int = 400_000):
+    def __init__(self, stems: set[bytes], mild: set[bytes], bound: int = 200_000):
         super().__init__()
         self.fixed: dict[bytes, int] = {}
         for words, kind in ((WILLS, WILL), (REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, INSULT)):
