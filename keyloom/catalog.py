@@ -44,6 +44,11 @@ def customers(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"), F.col("c_acctbal").alias("score"))
 
 
+def customer_requests(spark, d) -> DataFrame:
+    """A member asked for by every customer: the name of twice its key, in its own segment."""
+    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), F.format_string("Customer#%09d", F.col("c_custkey") * 2).alias("member"))
+
+
 def part_names(spark, d) -> DataFrame:
     """Sorted sets of one score: brand -> (name and key)."""
     return table(spark, d, "part").select(F.col("p_brand").alias("key"), F.concat_ws(":", "p_name", "p_partkey").alias("member"), F.lit(0.0).alias("score"))
@@ -211,6 +216,12 @@ def zmscore(spark, d):
     return zsets.zscore(customers(spark, d), r)
 
 
+@query(f"WITH {_Z}, r AS (SELECT c_mktsegment AS key, 'Customer#' || printf('%09d', c_custkey * 2) AS member FROM customer) SELECT r.key, r.member, z.score FROM r LEFT JOIN z USING (key, member)")
+def zmscore_whole(spark, d):
+    """One request for every customer."""
+    return zsets.zscore(customers(spark, d), customer_requests(spark, d))
+
+
 @query(f"WITH {_Z} SELECT key, member, score FROM z QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5('7' || member), member) <= 3")
 def zrandmember_seeded(spark, d):
     return zsets.zrandmember(customers(spark, d), 3, seed=7)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from .catalog import _F, _H, _K, _L, _LEX, _M, _Z, NOW_MS, customers, flag_parts, order_counts, order_fields, order_keys, part_names, query, user_events
+from .catalog import _F, _H, _K, _L, _LEX, _M, _Z, NOW_MS, customer_requests, customers, flag_parts, order_counts, order_fields, order_keys, part_names, query, user_events
 from .operators import eviction, generic, hashes, introspection, lists, pubsub, sets, sorting, strings, zsets
 from .plans import effects, registry
 from .sources.readers import table
@@ -26,6 +26,15 @@ def zrank_of(spark, d):
     return zsets.zrank_of(z, r)
 
 
+@query(
+    f"WITH {_Z}, k AS (SELECT key, member, score, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank FROM z), "
+    "r AS (SELECT c_mktsegment AS key, 'Customer#' || printf('%09d', c_custkey * 2) AS member FROM customer) SELECT r.key, r.member, k.score, k.rank FROM r LEFT JOIN k USING (key, member)"
+)
+def zrank_of_whole(spark, d):
+    """One request for every customer."""
+    return zsets.zrank_of(customers(spark, d), customer_requests(spark, d))
+
+
 @query(f"WITH {_Z} SELECT key, member, score FROM z WHERE member NOT LIKE '%7'")
 def zrem(spark, d):
     z = customers(spark, d)
