@@ -70,6 +70,13 @@ def smembers(spark, d):
     return out.select("key", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"))
 
 
+@query("SELECT o_custkey AS key, array_to_string(list_sort(list(o_orderkey)), ',') AS members FROM orders GROUP BY o_custkey")
+def smembers_whole(spark, d):
+    """Customer -> orders, sets that are small by nature: every member of every key."""
+    m = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("member"))
+    return sets.smembers(m).select("key", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"))
+
+
 @query(f"WITH {_M} SELECT key, member FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5('5' || member), member) <= 4")
 def srandmember_seeded(spark, d):
     return sets.srandmember(flag_parts(spark, d), 4, seed=5)
