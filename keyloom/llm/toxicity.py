@@ -7,7 +7,8 @@ fifth reads off what was matched; they are composed into one machine:
 * negation: an insult or threat within three words after a negation is negated;
 * reported speech: one after a verb of saying, to the clause's end, is reported;
 * target: one with a personal word before it in its clause is aimed;
-* threat: a threat counts only when aimed or when a will-word stands before it.
+* threat: a threat counts only when a will-word stands before it or a personal word
+  after it in its clause; a personal word before it is who acts, not who is meant.
 
 A clause is one match, scored by the weight of its strongest reading; isolated
 words outside the patterns score nothing.  Weights, and insult stems beyond the
@@ -99,31 +100,41 @@ def grammar(weights: dict[str, float]) -> Transducer:
             return 1, symbol, 0.0
         return seen, symbol | AIMED * (seen and _hostile(symbol)), 0.0
 
-    def threat(will, symbol):
+    def rank(symbol):
+        reading = read(symbol)
+        return weights[reading], READINGS.index(reading)
+
+    def threat(state, symbol):
+        """A threat without a will-word is held, the strongest of several, until a personal word follows."""
+        will, held = state
         if symbol & 7 == WILL:
-            return 1, symbol, 0.0
-        if symbol & 7 == THREAT and not (will and symbol & AIMED):
-            return will, OTHER, 0.0
-        return will, symbol, 0.0
+            return (1, held), symbol, 0.0
+        if symbol & 7 == TARGET and held:
+            return (will, 0), held, 0.0
+        if symbol & 7 == THREAT and not will:
+            return (will, max(held, symbol, key=rank) if held else symbol), OTHER, 0.0
+        return state, symbol, 0.0
+
+    def read(symbol):
+        if symbol & NEGATED:
+            return "negated"
+        if symbol & REPORTED:
+            return "reported"
+        if symbol & 7 == THREAT:
+            return "threat"
+        if symbol & 7 == MILD:
+            return "mild"
+        return "aimed" if symbol & AIMED else "plain"
 
     def insult(_, symbol):
         if not _hostile(symbol):
             return 0, 0, 0.0
-        if symbol & NEGATED:
-            reading = "negated"
-        elif symbol & REPORTED:
-            reading = "reported"
-        elif symbol & 7 == THREAT:
-            reading = "threat"
-        elif symbol & 7 == MILD:
-            reading = "mild"
-        else:
-            reading = "aimed" if symbol & AIMED else "plain"
+        reading = read(symbol)
         return 0, READINGS.index(reading) + 1, weights[reading]
 
     machine = Transducer(negation)
-    for arc in (report, target, threat, insult):
-        machine = machine.compose(Transducer(arc))
+    for arc, start in ((report, 0), (target, 0), (threat, (0, 0)), (insult, 0)):
+        machine = machine.compose(Transducer(arc, start))
     return machine
 
 
