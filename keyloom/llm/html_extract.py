@@ -25,6 +25,8 @@ VOID = set("br hr img input meta link area base col embed source track wbr".spli
 BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre article section main figure figcaption address body html hr nav footer aside header form details summary fieldset center".split())
 #: Words in class, id or role that mark boilerplate.
 MARKS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot masthead topbar header comment comments reply replies discussion disqus share sharing social related recommended pagination pager toolbar login search complementary contentinfo disclaimer".split())
+#: What may stand in a head; anything else ends one left open.
+HEAD = set("title meta link base script style noscript template".split())
 #: Elements an opening block tag closes if left open.
 _ENDS_P = BLOCKS - {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
@@ -50,6 +52,14 @@ LABELLED = [
 ]
 
 
+def _ends_head(token: str) -> bool:
+    """Text or an opening body tag after a head whose end tag was left out."""
+    if token[0] != "<" or len(token) == 1:
+        return bool(token.strip())
+    name = _NAME.match(token)
+    return bool(name) and token[1] != "/" and name[1].lower() not in HEAD
+
+
 class Tokens:
     """A page's tokens: ``kinds`` (scoring class), ``texts``, ``blocks``, ``main`` (not boilerplate)."""
 
@@ -66,6 +76,8 @@ class Tokens:
             m = _TOKEN.match(page, at)
             token = m[0]
             at = m.end()
+            if stack and stack[-1][0] == "head" and _ends_head(token):
+                stack.pop()
             boiler = bool(stack) and stack[-1][1]
             silent = bool(stack) and stack[-1][2]
             if token[0] != "<" or len(token) == 1:
@@ -105,7 +117,7 @@ class Tokens:
             boiler = boiler or tag in BOILER or bool(marks & MARKS) and tag not in ("body", "html", "article", "main") or bool(_HIDDEN.search(token))
             if not silent:
                 self._add("<boiler" if boiler else "<" + tag, " " if tag == "br" else "", block, tag == "br" and not boiler)
-            if tag in VOID or token.endswith("/>") and tag not in BLOCKS and tag not in SILENT:
+            if tag in VOID or token.endswith("/>") and tag not in BLOCKS and tag not in SILENT - {"svg"}:
                 continue
             silent = silent or tag in SILENT
             if tag in ("script", "style", "title", "textarea", "noscript", "iframe"):

@@ -1,6 +1,6 @@
 """Cases that earlier versions cut short."""
 
-from keyloom.llm import toxicity
+from keyloom.llm import html_extract, toxicity
 
 
 def readings(text):
@@ -15,3 +15,12 @@ def test_threats_at_someone():
     assert readings("They attack the problem.") == [] and readings("You fix it. Kill the process.") == []
     model = toxicity.Model([], [], dict(toxicity.PRIOR))
     assert model.score("I will kill you") > model.score("")
+
+
+def test_an_open_head_and_a_closed_svg_do_not_mute():
+    assert html_extract.extract("<html><head><title>t</title><body><p>text of it</p>") == "text of it"
+    assert html_extract.extract("<head><title>t</title><p>text of it</p>") == "text of it"
+    assert html_extract.extract("<head><meta charset=x><title>t</title>plain text") == "plain text"
+    assert html_extract.extract("<head><title>t</title></head><body><p>text of it</p>") == "text of it"
+    assert html_extract.extract("<body><p>one two</p><svg viewBox='0'/><p>three four</p>") == "one two\nthree four"
+    assert html_extract.extract("<p>one two<svg><path/><text>no</text></svg></p>") == "one two"
