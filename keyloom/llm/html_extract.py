@@ -27,6 +27,8 @@ BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbo
 MARKS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot masthead topbar header comment comments reply replies discussion disqus share sharing social related recommended pagination pager toolbar login search complementary contentinfo disclaimer".split())
 #: What may stand in a head; anything else ends one left open.
 HEAD = set("title meta link base script style noscript template".split())
+#: Compounds of a mark that speak of the page around it, such as has-sidebar.
+_STATES = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*")
 #: Elements an opening block tag closes if left open.
 _ENDS_P = BLOCKS - {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
@@ -68,7 +70,8 @@ class Tokens:
         self.texts: list[str] = []
         self.blocks: list[int] = []
         self.main: list[bool] = []
-        stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, silent
+        stack: list[tuple[str, int, bool]] = []  # element, boilerplate (1 by a mark, 2 by element or hidden), silent
+        article = False  # one was opened outside boilerplate
         block = 0
         page = page or ""
         at, n = 0, len(page)
@@ -78,7 +81,7 @@ class Tokens:
             at = m.end()
             if stack and stack[-1][0] == "head" and _ends_head(token):
                 stack.pop()
-            boiler = bool(stack) and stack[-1][1]
+            boiler = stack[-1][1] if stack else 0
             silent = bool(stack) and stack[-1][2]
             if token[0] != "<" or len(token) == 1:
                 if silent:
@@ -111,10 +114,18 @@ class Tokens:
                         if stack[k][0] == tag:
                             del stack[k:]
                             break
-                boiler = bool(stack) and stack[-1][1]
+                boiler = stack[-1][1] if stack else 0
                 silent = bool(stack) and stack[-1][2]
-            marks = {p for a in _ATTRS.findall(token) for p in _PARTS.split("".join(a).lower())}
-            boiler = boiler or tag in BOILER or bool(marks & MARKS) and tag not in ("body", "html", "article", "main") or bool(_HIDDEN.search(token))
+            marked = any(p in MARKS for a in _ATTRS.findall(token) for p in _PARTS.split(_STATES.sub(" ", "".join(a).lower())))
+            if tag in ("article", "main"):
+                if boiler == 1 and not marked and not article:  # the page's first: the marks were of a wrapper
+                    stack = [(e, 0, quiet) for e, _, quiet in stack]
+                    boiler = 0
+                article = article or not boiler
+            elif marked and tag not in ("body", "html"):
+                boiler = max(boiler, 1)
+            if tag in BOILER or _HIDDEN.search(token):
+                boiler = 2
             if not silent:
                 self._add("<boiler" if boiler else "<" + tag, " " if tag == "br" else "", block, tag == "br" and not boiler)
             if tag in VOID or token.endswith("/>") and tag not in BLOCKS and tag not in SILENT - {"svg"}:

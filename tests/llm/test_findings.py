@@ -24,3 +24,13 @@ def test_an_open_head_and_a_closed_svg_do_not_mute():
     assert html_extract.extract("<head><title>t</title></head><body><p>text of it</p>") == "text of it"
     assert html_extract.extract("<body><p>one two</p><svg viewBox='0'/><p>three four</p>") == "one two\nthree four"
     assert html_extract.extract("<p>one two<svg><path/><text>no</text></svg></p>") == "one two"
+
+
+def test_a_marked_wrapper_does_not_hide_the_article():
+    article = "<article><h1>Head line</h1><p>Some text in here.</p></article>"
+    for wrapper in ("page has-sidebar", "no-sidebar", "header-fixed", "menu-open", "elementor-widget"):
+        page = f"<body><div class='{wrapper}'><nav><a>Home</a></nav><div class='ad'>Buy it now.</div>{article}<div class='comments'><article>I agree.</article></div></div></body>"
+        assert html_extract.extract(page) == "Head line\nSome text in here.", wrapper
+        assert html_extract.extract(page.replace("article>", "main>", 2)) == "Head line\nSome text in here.", wrapper
+    assert html_extract.extract("<body><div class='has-sidebar'><p>No article element here.</p></div></body>") == "No article element here."
+    assert html_extract.extract(f"<body><aside>{article}</aside><nav>{article}</nav></body>") == ""
