@@ -38,6 +38,11 @@ _HIDDEN = re.compile(r"\s(?:hidden(?=[\s>=/])|aria-hidden\s*=\s*[\"']?true|style
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
+#: What encloses text: tags and links inside are part of it.
+_TEXTS = {"article", "main", "p"}
+#: Tags of running text, lists and tables.
+_TEXT_TAGS = set("p h1 h2 h3 h4 blockquote br b i em strong pre ul ol li dl dt dd table caption thead tbody tfoot tr td th span code".split())
+
 #: Labelled pages the weights are learned from: (html, main text).
 LABELLED = [
     (
@@ -51,6 +56,14 @@ LABELLED = [
         ("Notes on tides", "main", ["Tides rise and fall twice a day in most places, though not in all of them.", "The moon pulls harder on the near side of the earth than on the far side, and the sea answers.", "Harbours keep tables."]),
         ("Short", "section", ["One line only."]),
     ]
+] + [
+    (
+        f"<html><head><title>{t}</title></head><body><nav><ul><li><a href='/'>home</a></li></ul></nav><ul><li><a href='/a'>archive</a></li><li><a href='/b'>contact</a></li></ul>"
+        f"<{box}><h1>{t}</h1><p>Read <a href='/x'>the longer version</a> first.</p><div class='related'><ul>" + "<li><a href='/y'>another story</a></li>" * 10 + "</ul></div>"
+        f"<ul><li>flour</li><li>salt</li></ul><table><tr><td>oven</td><td><span>hot</span></td></tr></table></{box}><footer>&copy; site</footer></body></html>",
+        f"{t}\nRead the longer version first.\nflour\nsalt\noven\nhot",
+    )
+    for t, box in (("What it takes", "article"), ("Things to have at hand", "div"))
 ]
 
 
@@ -86,7 +99,7 @@ class Tokens:
             if token[0] != "<" or len(token) == 1:
                 if silent:
                     continue
-                kind = "boiler" if boiler else "link" if any(e[0] == "a" for e in stack) else "word"
+                kind = "boiler" if boiler else "link" if any(e[0] == "a" for e in stack) and not any(e[0] in _TEXTS for e in stack) else "word"
                 self._add(kind, html.unescape(token), block, not boiler)
                 continue
             name = _NAME.match(token)
@@ -100,7 +113,7 @@ class Tokens:
                 if depth is not None and not (tag not in BLOCKS and any(stack[k][0] in BLOCKS for k in range(depth + 1, len(stack)))):
                     del stack[depth:]
                 if not silent:
-                    self._add("/" + tag, "", block, False)
+                    self._add("/boiler" if boiler else self._kind("/", tag, stack), "", block, False)
                 continue
             if tag in _ENDS_P:
                 block += 1
@@ -127,7 +140,7 @@ class Tokens:
             if tag in BOILER or _HIDDEN.search(token):
                 boiler = 2
             if not silent:
-                self._add("<boiler" if boiler else "<" + tag, " " if tag == "br" else "", block, tag == "br" and not boiler)
+                self._add("<boiler" if boiler else self._kind("<", tag, stack), " " if tag == "br" else "", block, tag == "br" and not boiler)
             if tag in VOID or token.endswith("/>") and tag not in BLOCKS and tag not in SILENT - {"svg"}:
                 continue
             silent = silent or tag in SILENT
@@ -137,6 +150,10 @@ class Tokens:
                 continue
             stack.append((tag, boiler, silent))
 
+    @staticmethod
+    def _kind(mark: str, tag: str, stack: list[tuple[str, int, bool]]) -> str:
+        return mark + ("in:" if any(e[0] in _TEXTS for e in stack) else "") + tag
+
     def _add(self, kind: str, text: str, block: int, main: bool) -> None:
         self.kinds.append(kind)
         self.texts.append(text)
@@ -149,7 +166,9 @@ def _group(kind: str) -> str:
     if kind in ("word", "link", "boiler", "<boiler"):
         return kind
     name = kind.strip("</")
-    return "tag:link" if name in ("a", "li", "ul") else "tag:text" if name in ("p", "h1", "h2", "h3", "h4", "blockquote", "br", "b", "i", "em", "strong", "pre") else "tag"
+    if name == "boiler":
+        return "<boiler"
+    return "tag:link" if name == "a" else "tag:text" if name in _TEXT_TAGS or name.startswith("in:") else "tag"
 
 
 @functools.cache
@@ -163,10 +182,9 @@ def weights() -> dict[str, float]:
     outside: dict[str, float] = {}
     for page, main in LABELLED:
         tokens = Tokens(page)
-        lines = main.split("\n")
         for kind, text in zip(tokens.kinds, tokens.texts):
             n = len(text.split()) or 1
-            there = text.strip() in lines if text.strip() else _group(kind) == "tag:text"
+            there = text.strip() in main if text.strip() else _group(kind) == "tag:text"
             side = inside if there else outside
             side[_group(kind)] = side.get(_group(kind), 0) + n
     out = {}
@@ -174,7 +192,7 @@ def weights() -> dict[str, float]:
         odds = math.log((inside.get(group, 0) + 0.5) / (outside.get(group, 0) + 0.5))
         if group in ("word", "link"):
             odds = max(odds, 0.5) if group == "word" else max(min(odds, 0.5), 0.05)
-        elif group == "boiler":
+        elif group in ("boiler", "<boiler"):
             odds = max(min(odds, -0.05), -0.05)  # left out anyway; an advert must not cut a page in two
         else:
             odds = -0.2 if group == "tag:text" else min(odds, -0.5)

@@ -34,3 +34,20 @@ def test_a_marked_wrapper_does_not_hide_the_article():
         assert html_extract.extract(page.replace("article>", "main>", 2)) == "Head line\nSome text in here.", wrapper
     assert html_extract.extract("<body><div class='has-sidebar'><p>No article element here.</p></div></body>") == "No article element here."
     assert html_extract.extract(f"<body><aside>{article}</aside><nav>{article}</nav></body>") == ""
+
+
+def test_lists_tables_links_and_boxes_of_an_article():
+    text = "A head of some words"
+    for box in ("article", "div"):
+        def page(inner):
+            return f"<body><nav><ul><li><a>Home</a></li></ul></nav><{box}><h1>{text}</h1><p>Intro words here.</p>{inner}</{box}><footer>f</footer></body>"
+
+        start = f"{text}\nIntro words here."
+        assert html_extract.extract(page("<ul><li>one</li><li>two</li></ul>")) == start + "\none\ntwo"
+        assert html_extract.extract(page("<table><tr><td>x</td><td><span>y</span></td></tr></table>")) == start + "\nx\ny"
+        assert html_extract.extract(page("<p>See <a href=u>this</a>.</p>")) == start + "\nSee this."
+        related = "<div class='related'><ul>" + "<li><a href=u>Story</a></li>" * 10 + "</ul></div>"
+        assert html_extract.extract(page(related + "<p>A tail of the text.</p>")) == start + "\nA tail of the text."
+    final = "<ul><li><a href=u>one</a></li><li><a href=v>two</a></li></ul>"
+    assert html_extract.extract(f"<body><article><h1>{text}</h1>{final}</article></body>") == f"{text}\none\ntwo"
+    assert html_extract.extract(f"<body>{final}<div><h1>{text}</h1><p>Intro words here.</p></div>{final}</body>") == f"{text}\nIntro words here."
