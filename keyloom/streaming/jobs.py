@@ -55,8 +55,8 @@ POPS = "queue string, client bigint, value string, seq bigint"
 def match_pops(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One queue of BLPOP/BRPOP: pushes meet waiting pops, first come first served.
 
-    Rows: ``seq, kind (push, pop), client, value, deadline_ms``; state holds
-    values not popped and pops not served.  A pop past its deadline at a later
+    Rows: ``seq, kind (push, pop), client, value, deadline_ms, side``; a pop of
+    side ``right`` takes the tail, any other the head; state holds values not popped and pops not served.  A pop past its deadline at a later
     row's ``seq`` gets a null value.  Within a batch rows apply in ``seq`` order.
     """
     values, waiting = (list(x) for x in state.get) if state.exists else ([], [])
@@ -69,10 +69,10 @@ def match_pops(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
         if r.kind == "push":
             values.append((r.value,))
         else:
-            waiting.append((int(r.client), int(r.deadline_ms), int(r.seq)))
+            waiting.append((int(r.client), int(r.deadline_ms), int(r.seq), r.side))
         while values and waiting:
-            client, _, seq = waiting.pop(0)
-            out.append((key[0], client, values.pop(0)[0], seq))
+            client, _, seq, side = waiting.pop(0)
+            out.append((key[0], client, values.pop(-1 if side == "right" else 0)[0], seq))
     state.update((values, waiting))
     yield pd.DataFrame(out, columns=["queue", "client", "value", "seq"])
 
@@ -80,11 +80,14 @@ def match_pops(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 def blocking_pops(stream: DataFrame) -> DataFrame:
     """BLPOP, BRPOP, BLMOVE, BRPOPLPUSH over ``queue, seq, at_ms, kind, client, value, deadline_ms``.
 
-    First-come first-served by arrival offset.  A moved value is the output row
-    appended to the destination's log by the caller.
+    An optional ``side`` of a pop (left, right) is the end it takes from: right
+    for BRPOP and BRPOPLPUSH, left if it is absent or null.  First-come
+    first-served by arrival offset.  A moved value is the output row appended to
+    the destination's log by the caller.
     """
-    kept = "values array<struct<value:string>>, waiting array<struct<client:bigint,deadline:bigint,seq:bigint>>"
-    return stream.groupBy("queue").applyInPandasWithState(match_pops, POPS, kept, "append", GroupStateTimeout.NoTimeout)
+    kept = "values array<struct<value:string>>, waiting array<struct<client:bigint,deadline:bigint,seq:bigint,side:string>>"
+    side = F.coalesce("side", F.lit("left")) if "side" in stream.columns else F.lit("left")
+    return stream.withColumn("side", side).groupBy("queue").applyInPandasWithState(match_pops, POPS, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
