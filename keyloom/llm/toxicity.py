@@ -10,8 +10,9 @@ fifth reads off what was matched; they are composed into one machine:
 * threat: a threat counts only when a will-word stands before it or a personal word
   after it in its clause; a personal word before it is who acts, not who is meant.
 
-A clause is one match, scored by the weight of its strongest reading; isolated
-words outside the patterns score nothing.  Weights, and insult stems beyond the
+A clause is one match, scored by the weight of its strongest reading; words
+without a class score nothing, while an insult or learned stem scores even alone.
+Weights, and insult stems beyond the
 seed list, are learned from labelled rows; other columns are never read.
 """
 
@@ -237,7 +238,7 @@ def _stems(sample: DataFrame, base: float) -> tuple[list[bytes], list[bytes]]:
     tried = counts.filter("toxic >= 3").count()
     least = max(4, math.ceil((math.log(max(tried, 1)) + 1) / -math.log(max(min(base, 0.5), 1e-6))))
     good = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= MILD_PRECISION * (F.col("toxic") + F.col("clean"))))
-    # Bounded by the sample; the strongest few thousand at most are kept in the model.
+    # At most 20,000 are looked at, those of the most toxic documents first; the README states this bound.
     found = {bytes(r.stem): (r.toxic, r.clean) for r in good.orderBy(F.desc("toxic"), "stem").limit(20_000).collect()}
     sure = _widest({s: t for s, (t, c) in found.items() if t >= PRECISION * (t + c)}, set())
     return sure, _widest({s: t for s, (t, _) in found.items()}, set(sure))
