@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import shared_folder, written
 
-__all__ = ["attach", "components", "normal_text", "shared_folder", "written"]
+__all__ = ["attach", "components", "normal_text", "shared_folder", "unused", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A group that holds at least one in so many of all rows is heavy.  There are
@@ -19,6 +19,14 @@ def normal_text(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left-join ``groups`` (one row a key, ``size`` rows each) to ``rows``.
 

@@ -188,3 +188,22 @@ def test_attach_keeps_hot_keys(spark):
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     out = shared.attach(rows, groups, "k", "n", 1000)
     assert out.count() == 1000 and out.filter("least is null").count() == 0 and out.filter("k = 0").agg(F.max("least")).first()[0] == 0
+
+
+@pytest.mark.parametrize("few", [0, 5])
+def test_decontamination_without_broadcasts(spark, few):
+    """Benchmark tables of more rows than may be broadcast give the same rows."""
+    texts = corpus()
+    items = [" ".join((texts[k] or "").split()[:14]) for k in (0, 1, 2)] + ["one", "Two  WORDS", "", None, "w1 w2 w3", texts[0] + "!"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    d = docs(spark, texts, odd_ids(len(texts)))
+    rows = lambda n: sorted(map(str, decontamination.decontaminate(d, table, few=n).collect()))
+    assert rows(few) == rows(decontamination.BROADCAST_ROWS)
+
+
+def test_drop_contaminated_keeps_clashing_columns(spark):
+    d = docs(spark, corpus(n=30)).withColumns({c: F.lit(c) for c in ("_key", "bad", "hash", "w", "window")})
+    table = spark.createDataFrame([(1, corpus()[0])], "item_id bigint, text string")
+    kept = decontamination.drop_contaminated(d, table)
+    assert kept.columns == d.columns and 0 < kept.count() < d.count()
+    assert kept.select("_key", "bad", "hash", "w", "window").distinct().collect() == [("_key", "bad", "hash", "w", "window")]
