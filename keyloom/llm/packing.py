@@ -130,25 +130,24 @@ def pack_ids(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        last = np.array([end_id], coder.dtype).tobytes()
+        last = np.array([end_id], coder.dtype)
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
-        data: list[bytes] = []
+        data: list[np.ndarray] = []
         held = 0
 
         def packed() -> pa.RecordBatch:
             nonlocal base, held
-            arrays = [np.frombuffer(x, coder.dtype).astype("<u4") for x in data]
-            pieces = pack(map(len, arrays), window)
+            pieces = pack(map(len, data), window)
             cols = list(zip(*pieces)) or [()] * 5
-            crc = [zlib.crc32(arrays[d][a : a + n].tobytes()) for d, a, n, _, _ in pieces]
+            crc = [zlib.crc32(data[d][a : a + n].astype("<u4")) for d, a, n, _, _ in pieces]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[d] for d in cols[0]], pa.int64()),
                     pa.array(cols[1], pa.int64()),
                     pa.array(cols[2], pa.int64()),
                     pa.array(crc, pa.int64()),
-                    pa.array([len(arrays[d]) for d in cols[0]], pa.int64()),
+                    pa.array([len(data[d]) for d in cols[0]], pa.int64()),
                     pa.array([base + s for s in cols[3]], pa.int64()),
                     pa.array(cols[4], pa.int64()),
                 ],
@@ -161,10 +160,10 @@ def pack_ids(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, found in zip(batch.column(0).to_pylist(), coder.stream(batch.column(1))):
                 ids.append(doc)
-                data.append(coder.ids(text.as_py()) + last)
-                held += len(data[-1]) // coder.dtype.itemsize
+                data.append(np.concatenate([found, last]))
+                held += len(data[-1])
                 if len(ids) >= BLOCK_DOCS or held >= BLOCK_TOKENS:
                     yield packed()
         if ids:

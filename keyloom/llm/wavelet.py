@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .byte_bpe import encoder
@@ -73,18 +74,30 @@ class Plane:
         return lo + int(np.flatnonzero(part == bit)[k - int(before[block])])
 
 
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _loosen(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class WaveletMatrix:
     def __init__(self, n: int, planes: list[Plane]):
         self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> "WaveletMatrix":
-        ids = np.asarray(ids, np.uint16 if width <= 16 else np.uint32)
+        ids = np.array(ids, np.uint16 if width <= 16 else np.uint32)
+        other = np.empty_like(ids)
         planes = []
         for k in reversed(range(width)):
             ones = (ids & ids.dtype.type(1 << k)).astype(bool)
-            planes.append(Plane.of(ones))
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            planes.append(plane := Plane.of(ones))
+            # A stable partition by places: several times as fast as by masks.
+            np.take(ids, np.flatnonzero(~ones), out=other[: plane.zeros])
+            np.take(ids, np.flatnonzero(ones), out=other[plane.zeros :])
+            ids, other = other, ids
         return cls(len(ids), planes)
 
     def decode(self) -> np.ndarray:
@@ -94,8 +107,8 @@ class WaveletMatrix:
         for k, plane in enumerate(reversed(self.planes)):
             ones = plane.bits()
             up = np.empty(self.n, kind)
-            up[~ones] = out[: plane.zeros]
-            up[ones] = out[plane.zeros :] | kind(1 << k)
+            up[np.flatnonzero(~ones)] = out[: plane.zeros]
+            up[np.flatnonzero(ones)] = out[plane.zeros :] | kind(1 << k)
             out = up
         return out
 
@@ -132,10 +145,9 @@ class WaveletMatrix:
         return at
 
     def to_bytes(self) -> bytes:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         out = [MAGIC, struct.pack("<IQ", len(self.planes), self.n)]
         for p in self.planes:
-            packed, ranks = squeeze(p.packed.tobytes()), squeeze(p.ranks.tobytes())
+            packed, ranks = _squeeze(p.packed.tobytes()), _squeeze(p.ranks.tobytes())
             out += [struct.pack("<QII", p.zeros, len(packed), len(ranks)), packed, ranks]
         return b"".join(out)
 
@@ -143,82 +155,125 @@ class WaveletMatrix:
     def from_bytes(cls, data: bytes) -> "WaveletMatrix":
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        loosen = zstandard.ZstdDecompressor().decompress
         width, n = struct.unpack_from("<IQ", data, 4)
         at, planes = 16, []
         for _ in range(width):
             zeros, a, b = struct.unpack_from("<QII", data, at)
             at += 16
-            packed = np.frombuffer(loosen(data[at : at + a], max_output_size=n // 8 + 1), np.uint8)
-            ranks = np.frombuffer(loosen(data[at + a : at + a + b], max_output_size=4 * (n // BLOCK + 2)), "<u4")
+            packed = np.frombuffer(_loosen(data[at : at + a]), np.uint8)
+            ranks = np.frombuffer(_loosen(data[at + a : at + a + b]), "<u4")
             planes.append(Plane(packed, ranks, n, zeros))
             at += a + b
         return cls(n, planes)
 
 
-SHARDS = "first_key binary, n_ids long, doc_ids array<long>, lengths array<int>, file binary"
+class Shard:
+    """A shard file: documents' ids and ends beside the wavelet matrix of their token ids.
+
+    Layout (little-endian): magic ``KWS1``, u64 documents, u64 ids before this
+    shard in its part, u32 lengths of the three fields that follow: document
+    ids (i64), flags of null ones (packed bits), and the plane that marks every
+    document's last id; then the matrix.
+    """
+
+    MAGIC = b"KWS1"
+
+    def __init__(self, before: int, docs: list[int | None], ends: Plane, matrix: WaveletMatrix):
+        self.before, self.docs, self.ends, self.matrix = before, docs, ends, matrix
+
+    @classmethod
+    def of(cls, before: int, docs: list[int | None], arrays: list[np.ndarray], width: int) -> "Shard":
+        """Every document has one id at least, its end."""
+        last = np.cumsum([len(x) for x in arrays]) - 1
+        marks = np.zeros(int(last[-1]) + 1, bool)
+        marks[last] = True
+        return cls(before, docs, Plane.of(marks), WaveletMatrix.build(np.concatenate(arrays), width))
+
+    def bounds(self, k: int) -> tuple[int, int]:
+        """First and past-last place of the k-th document."""
+        return (self.ends.select(1, k - 1) + 1 if k else 0), self.ends.select(1, k) + 1
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(np.flatnonzero(self.ends.bits()), prepend=-1)
+
+    def to_bytes(self) -> bytes:
+        ids = np.array([x or 0 for x in self.docs], "<i8")
+        none = np.packbits(np.array([x is None for x in self.docs], bool), bitorder="little")
+        parts = [_squeeze(x.tobytes()) for x in (ids, none, self.ends.packed)]
+        return b"".join([self.MAGIC, struct.pack("<QQIII", len(ids), self.before, *map(len, parts)), *parts, self.matrix.to_bytes()])
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "Shard":
+        if data[:4] != cls.MAGIC:
+            raise ValueError("not a shard file")
+        n, before, *sizes = struct.unpack_from("<QQIII", data, 4)
+        at, parts = 4 + struct.calcsize("<QQIII"), []
+        for size in sizes:
+            parts.append(_loosen(data[at : at + size]))
+            at += size
+        matrix = WaveletMatrix.from_bytes(data[at:])
+        none = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=n, bitorder="little")
+        docs = [None if x else k for k, x in zip(np.frombuffer(parts[0], "<i8").tolist(), none.tolist())]
+        ends = np.unpackbits(np.frombuffer(parts[2], np.uint8), count=matrix.n, bitorder="little").view(bool)
+        return cls(before, docs, Plane.of(ends), matrix)
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` in ascending id order into a written table of shard files.
 
-    One exchange ranges the texts by id; each sorted range is encoded and cut
-    into shards.  Rows: ``file`` (the format above), the documents' ids and id
-    counts, and ``part, number`` that order the shards.  Null ids come first;
-    rows that repeat an id keep an order by text.
+    One exchange ranges the texts by id; each sorted range is a part, encoded
+    and cut into shards.  Rows: ``part``, ``n_ids`` and ``file`` (see ``Shard``).
+    Null ids come first; rows that repeat an id keep an order by text.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         width = (max(coder.tokenizer.get_vocab_size() - 1, end_id)).bit_length()
-        last = np.array([end_id], coder.dtype).tobytes()
-        ids, data, held, number = [], [], 0, 0
+        last = np.array([end_id], coder.dtype)
+        part = TaskContext.get().partitionId()
+        ids, arrays, held, before = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal number
-            lengths = [len(x) // coder.dtype.itemsize for x in data]
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(data), coder.dtype), width)
-            number += 1
-            row = {"number": number, "n_ids": sum(lengths), "doc_ids": list(ids), "lengths": lengths, "file": matrix.to_bytes()}
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        schema = pa.schema([("number", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("file", pa.binary())])
+            file = Shard.of(before, ids, arrays, width).to_bytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([held], pa.int64()), pa.array([file], pa.large_binary())], ["part", "n_ids", "file"])
+
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, found in zip(batch.column(0).to_pylist(), coder.stream(batch.column(1))):
                 ids.append(doc)
-                data.append(coder.ids(text.as_py()) + last)
-                held += len(data[-1]) // coder.dtype.itemsize
+                arrays.append(np.concatenate([found, last]))
+                held += len(arrays[-1])
                 if held >= shard_ids:
                     yield shard()
-                    ids, data, held = [], [], 0
+                    ids, arrays, held, before = [], [], 0, before + held
         if ids:
             yield shard()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.length("text"))
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
-    made = ranged.mapInArrow(shards, "number long, n_ids long, doc_ids array<long>, lengths array<int>, file binary")
-    return written(made.withColumn("part", F.spark_partition_id()), "wavelet")
+    return written(ranged.mapInArrow(shards, "part int, n_ids long, file binary"), "wavelet")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document, from the files alone: ``doc_id, start, n_tokens, ids_crc32``."""
-    # One row a shard of a million ids, without its file: small and bounded by the output.
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("part", "number", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
+    # One row a part, and there are no more parts than tasks that wrote them: a proven bound.
+    sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, lengths, file, base in zip(*(batch.column(k) for k in range(4))):
-                ids = WaveletMatrix.from_bytes(file.as_py()).decode().astype("<u4")
-                n = np.array(lengths.as_py(), np.int64)
+            for file, base in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = Shard.from_bytes(file.as_py())
+                ids = found.matrix.decode().astype("<u4")
+                n = found.lengths()
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(ids[b - a : b]) for a, b in zip(n.tolist(), ends.tolist())]
-                cols = [pa.array(docs.as_py(), pa.int64()), pa.array(ends - n + base.as_py()), pa.array(n), pa.array(crc, pa.int64())]
+                cols = [pa.array(found.docs, pa.int64()), pa.array(base + found.before + ends - n), pa.array(n), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    based = shards.drop("n_ids").join(bases.drop("n_ids"), ["part", "number"])
-    return based.select("doc_ids", "lengths", "file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    based = shards.join(F.broadcast(bases), "part")
+    return based.select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_index(docs: DataFrame, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:

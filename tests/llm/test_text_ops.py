@@ -30,7 +30,7 @@ def some_texts(n=60, seed=1):
 
 
 def test_byte_bpe_equals_library():
-    coder = byte_bpe.ByteBPE(P.path("byte_bpe_50k.json"), P.PATTERN, memory=50)
+    coder = byte_bpe.ByteBPE(P.path("byte_bpe_50k.json"), memory=50)
     for text in ODD + some_texts():
         assert coder.ids(text) == coder.whole(text or "")
 
