@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Remembered chunks of a worker, some 30 bytes each (no effect on ids).
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Characters of text whose chunks are gathered at once, and chunks the library gets at once; both bound memory.
-SLICE, CHUNKS = 4_000_000, 1 << 15
+SLICE, CHUNKS = 8_000_000, 1 << 15
 _MARKS = (",", ".")
 
 

@@ -1,46 +1,60 @@
 """Exact deduplication by content sort, with DataFrame operations only.
 
-Normalised texts are range-partitioned by sampled splitters and sorted within
-their ranges (Spark's external sort), so that equals stand next to each other;
-each row is compared with its neighbour in full.  Splitters are sampled from a
-bounded key: the first bytes, the SHA-256 and a salt of the row's id, so one
-text that a third of all rows share still spreads over many ranges.  Each
-range's runs are narrow rows; they are pre-aggregated, merged by digest, and
-attached to the rows without a hot join.
+Normalised texts are range-partitioned by sampled splitters on their first
+characters and sorted within their ranges (Spark's external sort), so that
+equals stand next to each other; each row is compared with its neighbour in
+full, and a run of equals is a group.  First characters that many rows share
+are salted with the row's id, so one text that a third of all rows share still
+spreads over many ranges; the runs of such ranges, one row each, are merged by
+a second content sort that compares their texts in full again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import attach, normal_text, written
+from .shared import HEAVY_PARTS, attach, normal_text, written
 
 SALTS = 64
+#: Characters of a text that ranges are cut by.
+HEAD = 64
+
+
+def _neighbours(ranged: DataFrame, by: tuple[str, ...], norm: str, first: Column) -> DataFrame:
+    """Add ``opens`` (differs from the row before it) and ``run`` (number in its range key) to range-partitioned rows."""
+    # The window's keys are the range keys: no further exchange, one external sort.
+    near = Window.partitionBy(*by).orderBy(norm, first.desc_nulls_last())
+    out = ranged.withColumn("opens", F.coalesce(F.lag(norm).over(near) != F.col(norm), F.lit(True)))
+    return out.withColumn("run", F.sum(F.col("opens").cast("long")).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _heavy_heads(rows: DataFrame) -> DataFrame:
+    """First characters of at least one in ``HEAVY_PARTS`` of all rows: that many at most, a proven broadcast bound."""
+    least = max(2, -(-rows.count() // HEAVY_PARTS))
+    counts = rows.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return written(counts.select("head", F.lit(True).alias("heavy")), "content-heads")
 
 
 def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """Narrow rows ``doc_id, digest, salt, first``, one per row of ``docs``.
+    """One row per row of ``docs`` after the content sort: ``doc_id, row, norm, head, heavy, salt, opens, run``.
 
-    ``first``: no equal text with the same salt and a larger id (or the same
-    id, for repeated rows) stands before it in the content sort.
+    ``row`` has all columns of ``docs``; a run starts where ``opens``, with the
+    largest id, and is numbered within ``head, salt``.
     """
-    norm = normal_text(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
-    rows = rows.select(
-        "doc_id",
-        "norm",
-        F.unhex(F.sha2("norm", 256)).alias("digest"),
-        F.substring(F.col("norm").cast("binary"), 1, 16).alias("head"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    ranged = rows.repartitionByRange("head", "digest", "salt")
-    # The window's keys hold the range keys: no further exchange, one external sort.
-    near = Window.partitionBy("head", "digest", "salt").orderBy("norm", F.col("doc_id").desc_nulls_last())
-    before = F.lag("norm").over(near)
-    sorted_rows = ranged.select("doc_id", "digest", "salt", (before.isNull()).alias("opens"), (F.coalesce(before, F.col("norm")) == F.col("norm")).alias("same"))
-    # Equal digests of different texts have never been seen; do not merge them silently.
-    checked = F.when(F.col("same"), F.col("opens")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("boolean"))
-    return sorted_rows.select("doc_id", "digest", "salt", checked.alias("first"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The head alone is normalised before the exchange: sampling splitters reads no whole text.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), normal_text(F.substring(text, 1, HEAD)).alias("head"))
+    heavy = _heavy_heads(rows.select("head"))
+    rows = rows.join(F.broadcast(heavy), "head", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    rows = rows.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0))
+    ranged = rows.repartitionByRange("head", "salt").withColumn("norm", normal_text(F.col("row")[text_col]))
+    return _neighbours(ranged, ("head", "salt"), "norm", F.col("doc_id"))
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs of salted heads, ``head, norm, keep_id, ...``, after a second content sort; a hot text has one row a salt."""
+    ranged = runs.withColumn("hash", F.xxhash64("norm")).repartitionByRange("head", "hash")
+    return _neighbours(ranged, ("head", "hash"), "norm", F.col("keep_id"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,27 +65,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     than any.  Rows that repeat both id and text: one of them is kept.  An
     empty table gives no rows; further columns are not read.
     """
-    rows = written(content_runs(docs, id_col, text_col), "content-sort")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = written(groups, "content-groups")
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    out = attach(rows, groups, "digest", "group_size", total)
-    return out.select(
+    rows = content_runs(docs.select(id_col, text_col), id_col, text_col)
+    key = F.struct("head", "salt", "run").alias("key")
+    rows = rows.select("doc_id", "head", "salt", "run", "heavy", "opens", F.unhex(F.sha2("norm", 256)).alias("digest"), F.when(F.col("heavy") & F.col("opens"), F.col("norm")).alias("norm"))
+    one = Window.partitionBy("head", "salt", "run")
+    rows = written(rows.withColumn("keep_id", F.max("doc_id").over(one)).withColumn("group_size", F.count("*").over(one)), "content-sort")
+    runs = _merged(rows.filter("norm IS NOT NULL").select("head", "salt", F.col("run").alias("part"), "norm", "keep_id", "group_size"))
+    one = Window.partitionBy("head", "hash", "run")
+    whole = runs.select(F.struct("head", "salt", F.col("part").alias("run")).alias("key"), F.max("keep_id").over(one).alias("keep_id"), F.sum("group_size").over(one).alias("group_size"), F.col("group_size").alias("rows"))
+    whole = written(whole, "content-groups")
+    out = ["doc_id", "keep_id", "group_size", "opens", "digest"]
+    light = rows.filter("NOT heavy").select(*out)
+    total = whole.agg(F.sum("rows")).first()[0] or 0
+    hot = attach(rows.filter("heavy").select("doc_id", "opens", "digest", key), whole, "key", "rows", total)
+    return light.unionByName(hot.select(*out)).select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("opens") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
-    mine = docs.withColumn("_sha", F.sha2(normal_text(F.col("text")), 256)).alias("d")
-    kept = kept.alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._sha") == F.col("k._sha"))
-    return mine.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: the first of every run."""
+    rows = content_runs(docs).filter("opens")
+    rows = written(rows.select("row", "heavy", F.col("doc_id").alias("keep_id"), F.when(F.col("heavy"), F.col("head")).alias("head"), F.when(F.col("heavy"), F.col("norm")).alias("norm")), "content-sort")
+    merged = _merged(rows.filter("heavy").drop("heavy")).filter("opens")
+    return rows.filter("NOT heavy").select("row.*").unionByName(merged.select("row.*"))
 
 
 ORACLE = r"""

@@ -207,3 +207,29 @@ def test_drop_contaminated_keeps_clashing_columns(spark):
     kept = decontamination.drop_contaminated(d, table)
     assert kept.columns == d.columns and 0 < kept.count() < d.count()
     assert kept.select("_key", "bad", "hash", "w", "window").distinct().collect() == [("_key", "bad", "hash", "w", "window")]
+
+
+def test_exact_groups_come_from_neighbours(spark):
+    """A text in a third of the rows spreads over ranges, texts of one head are told apart, and no worker is Python's."""
+    head = "the same first characters of many texts, more than are looked at by the ranges "
+    texts = ["HOT text"] * 200 + [head + str(k % 40) for k in range(200)] + [f"{k} own" for k in range(200)] + [None, ""]
+    d = docs(spark, texts)
+    runs = exact_dedup.content_runs(d).select("heavy", "salt", "norm", "opens").collect()
+    assert len({r.salt for r in runs if r.norm == "hot text"}) > 20 and not any(r.salt for r in runs if not r.heavy)
+    out = {r.doc_id: r for r in exact_dedup.exact_groups(d).collect()}
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[lower(t)].append(i)
+    for i, t in enumerate(texts):
+        mine = groups[lower(t)]
+        assert (out[i].keep_id, out[i].group_size, out[i].kept) == (max(mine), len(mine), i == max(mine))
+    plan = exact_dedup.exact_groups(d)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+def test_drop_exact_copies_keeps_clashing_columns(spark):
+    names = ("_sha", "row", "norm", "head", "heavy", "opens", "run", "keep_id", "hash", "dot.ted")
+    d = docs(spark, corpus(n=40)).withColumns({c: F.lit(c) for c in names})
+    kept = exact_dedup.drop_exact_copies(d)
+    assert kept.columns == d.columns and kept.count() == len({lower(t) for t in corpus(n=40)})
+    assert kept.select(*[f"`{c}`" for c in names]).distinct().collect() == [names]
