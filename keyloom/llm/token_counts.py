@@ -4,13 +4,16 @@ A text is cut where no piece of the vocabulary can span (before a mark that
 stands for white space).  Words not counted before are held as ragged numpy
 arrays of symbol ids; every round finds the best-ranked pair of each word,
 leftmost on ties, and merges it in all words at once, until no word has a
-mergeable pair.  The symbols left are counted; an unknown character counts one
-token for each UTF-8 byte.
+mergeable pair.  A long word is one array of its own, in which all places of
+its best-ranked pair are merged at once and only their neighbours are ranked
+again, so its time grows with its length.  The symbols left are counted; an
+unknown character counts one token for each UTF-8 byte.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,8 @@ MARK = "▁"
 #: Remembered words of a worker; then the memory starts again (no effect on counts).
 MEMORY = 600_000
 NONE = np.int64(1) << 60
+#: Characters from which a word is merged on its own (no effect on counts).
+LONG = 256
 
 
 class PieceBPE:
@@ -55,7 +60,6 @@ class PieceBPE:
         self.pair = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[p][0] for p in self.pair.tolist()], np.int64)
         self.made = np.array([pairs[p][1] for p in self.pair.tolist()], np.int64)
-        self.single = {k: 0 for k in range(self.known)}
         self.memory: dict[str, int] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +105,64 @@ class PieceBPE:
             symbols, owner, cost = symbols[keep], owner[keep], cost[keep]
         return counts
 
+    def merge_long(self, word: str) -> int:
+        """Token count of one word, as ``merge`` gives it."""
+        symbols = np.fromiter((self.symbol.get(c, -1) for c in word), np.int64, len(word))
+        cost = np.ones(len(word), np.int64)
+        odd = np.flatnonzero((symbols < 0) | (symbols >= self.known))
+        if self.bytes:
+            cost[odd] = [len(word[k].encode("utf-8", "surrogatepass")) for k in odd.tolist()]
+        n = len(word)
+        # Neighbours by place; place n is the end, with a symbol that joins nothing.
+        symbols = np.append(symbols, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ranks, made = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+        todo: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def rank(at: np.ndarray) -> None:
+            ranks[at], found = self._ranks(symbols[at], symbols[np.minimum(after[at], n)])
+            made[at] = self.made[found]
+            at = at[ranks[at] < NONE]
+            at = at[np.argsort(ranks[at], kind="stable")]
+            if len(at):
+                for part in np.split(at, np.flatnonzero(np.diff(ranks[at])) + 1):
+                    key = int(ranks[part[0]])
+                    if key not in todo:
+                        todo[key] = []
+                        heapq.heappush(heap, key)
+                    todo[key].append(part)
+
+        rank(np.arange(n))
+        while heap:
+            best = heapq.heappop(heap)
+            at = np.unique(np.concatenate(todo.pop(best)))
+            at = at[ranks[at] == best]
+            if not len(at):
+                continue
+            # Of pairs that overlap in a row, every other one from the left.
+            opens = np.append(True, after[at[:-1]] != at[1:])
+            k = np.arange(len(at))
+            at = at[(k - np.maximum.accumulate(np.where(opens, k, 0))) % 2 == 0]
+            # Where a merge gives a pair of better rank, that one is next: places further right wait.
+            new, left, right = made[at], symbols[before[at]], symbols[after[after[at]]]
+            left[before[at] < 0] = -1
+            joined = np.flatnonzero(before[at[1:]] == after[at[:-1]]) + 1
+            left[joined] = new[joined - 1]
+            first = np.flatnonzero((self._ranks(left, new)[0] < best) | (self._ranks(new, right)[0] < best))
+            if len(first) and first[0] + 1 < len(at):
+                todo[best] = [at[first[0] + 1 :]]
+                heapq.heappush(heap, best)
+                at = at[: first[0] + 1]
+            gone = after[at]
+            symbols[at], cost[at] = made[at], 1
+            cost[gone], symbols[gone], ranks[gone] = 0, -1, NONE
+            after[at] = after[gone]
+            before[np.minimum(after[at], n)] = at
+            left = before[at]
+            rank(np.unique(np.concatenate([at, left[left >= 0]])))
+        return int(cost.sum())
+
     def counts(self, texts: list[str | None]) -> list[int]:
         """Token count of each text; null counts as empty."""
         split = []
@@ -114,6 +176,9 @@ class PieceBPE:
             for w in set(words):
                 if w not in memory:
                     new[w] = None
+        for w in [w for w in new if len(w) >= LONG]:
+            del new[w]
+            memory[w] = self.merge_long(w)
         fresh = list(new)
         for at in range(0, len(fresh), 1 << 16):
             part = fresh[at : at + (1 << 16)]

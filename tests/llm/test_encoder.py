@@ -69,3 +69,23 @@ def test_shard_tables_read_back_alone(spark):
     for i, t in zip(ids, texts):
         want.setdefault(i, []).append(coder.whole(t or "") + b"\x02\x00")
     assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+
+
+def test_long_words_are_counted_as_short_ones_and_in_time():
+    import time
+
+    import sentencepiece
+
+    from keyloom.llm import token_counts
+
+    r = random.Random(4)
+    model = token_counts.PieceBPE(P.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for letters in ("ab", "abcde", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "aé日x\x00", "0123456789", "theandig", "=-_"):
+        for _ in range(40):
+            word = "▁" + "".join(r.choice(letters) for _ in range(r.randint(0, 300)))
+            assert model.merge_long(word) == model.merge([word])[0]
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.process_time()
+    assert model.counts([word + " a " + word[:300]]) == [len(library.encode(word + " a " + word[:300]))]
+    assert time.process_time() - began < 20  # some hours at one merge a round
