@@ -1,19 +1,21 @@
 """Toxicity from a weighted finite-state pattern grammar over clauses.
 
 Words become classes (insult, mild insult, threat, target, negation, reported
-speech, other).  Four small transducers rewrite the class string of a clause, and a
-fifth reads off what was matched; they are composed into one machine:
+speech, other).  Five small transducers rewrite the class string of a clause, and a
+sixth reads off what was matched; they are composed into one machine:
 
 * negation: an insult or threat within three words after a negation is negated;
 * reported speech: one after a verb of saying, to the clause's end, is reported;
 * target: one with a personal word before it in its clause is aimed;
 * threat: a threat counts only when a will-word stands before it or a personal word
-  after it in its clause; a personal word before it is who acts, not who is meant.
-
-A clause is one match, scored by the weight of its strongest reading; words
-without a class score nothing, while an insult or learned stem scores even alone.
-Weights, and insult stems beyond the
-seed list, are learned from labelled rows; other columns are never read.
+  after it in its clause; a personal word before it is who acts, not who is meant;
+* repetition: an insult after another one, in its clause or one of the last few, is
+  repeated.
+
+A clause is one match, scored by the weight of its strongest reading.  No word scores
+by itself: an insult or learned stem counts when it is aimed or repeated, and the more
+lightly weighted readings are of one that is negated or reported.  Weights, and insult
+stems beyond the seed list, are learned from labelled rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -40,11 +42,14 @@ WILLS = "will gonna going shall must should werde vais voy"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, WILL, MILD = range(8)
 #: Symbols after rewriting: base class plus these marks.
-NEGATED, REPORTED, AIMED = 8, 16, 32
+NEGATED, REPORTED, AIMED, REPEATED = 8, 16, 32, 64
+#: The end of a clause: all states begin again but that of repetition.
+END = 128
 SPAN = 3  # words that a negation reaches over
-READINGS = ("plain", "aimed", "negated", "reported", "threat", "mild")
+REACH = 5  # clauses that a repetition reaches over
+READINGS = ("repeated", "aimed", "negated", "reported", "threat", "mild")
 #: Weights that learning starts from and is drawn back to.
-PRIOR = {"bias": -3.0, "plain": 3.0, "aimed": 3.5, "negated": 0.5, "reported": 0.8, "threat": 2.0, "mild": 0.7}
+PRIOR = {"bias": -3.0, "repeated": 3.0, "aimed": 3.5, "negated": 0.5, "reported": 0.8, "threat": 2.0, "mild": 0.7}
 
 #: Bound of the labelled sample that stems and weights are learned from.
 SAMPLE = 12_000
@@ -87,20 +92,33 @@ def grammar(weights: dict[str, float]) -> Transducer:
     """The composed machine; its output is a reading's number plus one, or 0."""
 
     def negation(left, symbol):
+        if symbol == END:
+            return 0, symbol, 0.0
         if symbol & 7 == NEGATION:
             return SPAN, symbol, 0.0
         return max(0, left - 1), symbol | NEGATED * (left > 0 and _hostile(symbol)), 0.0
 
     def report(said, symbol):
+        if symbol == END:
+            return 0, symbol, 0.0
         if symbol & 7 == REPORT:
             return 1, symbol, 0.0
         return said, symbol | REPORTED * (said and _hostile(symbol)), 0.0
 
     def target(seen, symbol):
+        if symbol == END:
+            return 0, symbol, 0.0
         if symbol & 7 == TARGET:
             return 1, symbol, 0.0
         return seen, symbol | AIMED * (seen and _hostile(symbol)), 0.0
 
+    def repetition(left, symbol):
+        if symbol == END:
+            return max(0, left - 1), symbol, 0.0
+        if symbol & 7 not in (INSULT, MILD) or symbol & (NEGATED | REPORTED):
+            return left, symbol, 0.0
+        return REACH, symbol | REPEATED * (left > 0), 0.0
+
     def rank(symbol):
         reading = read(symbol)
         return weights[reading], READINGS.index(reading)
@@ -108,6 +126,8 @@ def grammar(weights: dict[str, float]) -> Transducer:
     def threat(state, symbol):
         """A threat without a will-word is held, the strongest of several, until a personal word follows."""
         will, held = state
+        if symbol == END:
+            return (0, 0), symbol, 0.0
         if symbol & 7 == WILL:
             return (1, held), symbol, 0.0
         if symbol & 7 == TARGET and held:
@@ -123,18 +143,18 @@ def grammar(weights: dict[str, float]) -> Transducer:
             return "reported"
         if symbol & 7 == THREAT:
             return "threat"
+        if not symbol & (AIMED | REPEATED):
+            return None
         if symbol & 7 == MILD:
             return "mild"
-        return "aimed" if symbol & AIMED else "plain"
+        return "aimed" if symbol & AIMED else "repeated"
 
     def insult(_, symbol):
-        if not _hostile(symbol):
-            return 0, 0, 0.0
-        reading = read(symbol)
-        return 0, READINGS.index(reading) + 1, weights[reading]
+        reading = read(symbol) if symbol != END and _hostile(symbol) else None
+        return (0, READINGS.index(reading) + 1, weights[reading]) if reading else (0, 0, 0.0)
 
     machine = Transducer(negation)
-    for arc, start in ((report, 0), (target, 0), (threat, (0, 0)), (insult, 0)):
+    for arc, start in ((report, 0), (target, 0), (threat, (0, 0)), (repetition, 0), (insult, 0)):
         machine = machine.compose(Transducer(arc, start))
     return machine
 
@@ -190,15 +210,17 @@ class Model:
         kinds = bytes(map(classes.__getitem__, data.translate(WORD_BYTES).split()))
         if not self._hostile(kinds):
             return out
+        state = machine.start
         for clause in _CLAUSES.split(data):
             kinds = bytes(map(classes.__getitem__, clause.replace(b"'", b"").translate(WORD_BYTES).split()))
-            if not self._hostile(kinds):
-                continue
-            state, best = machine.start, (-math.inf, 0)
-            for kind in kinds:
-                state, reading, weight = machine.step(state, kind)
-                if reading:
-                    best = max(best, (weight, reading))
+            best = (-math.inf, 0)
+            if self._hostile(kinds):
+                for kind in kinds:
+                    state, reading, weight = machine.step(state, kind)
+                    if reading:
+                        best = max(best, (weight, reading))
+            if kinds:
+                state, _, _ = machine.step(state, END)
             if best[1]:
                 out[best[1] - 1] += 1
         return out
@@ -238,8 +260,8 @@ def _stems(sample: DataFrame, base: float) -> tuple[list[bytes], list[bytes]]:
     tried = counts.filter("toxic >= 3").count()
     least = max(4, math.ceil((math.log(max(tried, 1)) + 1) / -math.log(max(min(base, 0.5), 1e-6))))
     good = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= MILD_PRECISION * (F.col("toxic") + F.col("clean"))))
-    # At most 20,000 are looked at, those of the most toxic documents first; the README states this bound.
-    found = {bytes(r.stem): (r.toxic, r.clean) for r in good.orderBy(F.desc("toxic"), "stem").limit(20_000).collect()}
+    # Prefixes that several toxic documents of the bounded sample share.
+    found = {bytes(r.stem): (r.toxic, r.clean) for r in good.orderBy(F.desc("toxic"), "stem").collect()}
     sure = _widest({s: t for s, (t, c) in found.items() if t >= PRECISION * (t + c)}, set())
     return sure, _widest({s: t for s, (t, _) in found.items()}, set(sure))
 

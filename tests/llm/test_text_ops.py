@@ -201,13 +201,13 @@ def test_html_query(spark):
 def test_grammar():
     model = toxicity.Model([b"grob"], [], dict(toxicity.PRIOR))
     reading = lambda t: [r for r, n in zip(toxicity.READINGS, model.features(t)) if n]
-    assert reading("What an idiot.") == ["plain"]
+    assert reading("What an idiot.") == [] and reading("What an idiot, what a moron.") == ["repeated"]
     assert reading("You are a moron!") == ["aimed"]
     assert reading("You are not an idiot.") == ["negated"]
     assert reading("He said that idiot left.") == ["reported"] and reading("They claimed she is a loser") == ["reported"]
-    assert reading("I will kill you") == [] and reading("you know I will kill") == ["threat"]
-    assert reading("They attack the problem.") == [] and reading("Not now. What an idiot.") == ["plain"]
-    assert reading("grober Kerl") == ["plain"] and reading("") == reading(None) == []
+    assert reading("I will kill you") == reading("you know I will kill") == ["threat"]
+    assert reading("They attack the problem.") == [] and reading("Not now. What an idiot. And a moron.") == ["repeated"]
+    assert reading("du grober Kerl") == ["aimed"] and reading("grober Kerl") == reading("") == reading(None) == []
     assert 0 < model.score(None) < 0.3 < model.score("you idiot") < 1
 
 
@@ -218,7 +218,8 @@ def test_toxicity_learns_held_out_stems(spark):
         toxic = i % 4 == 0
         words = [r.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(30)]
         if toxic:
-            words[r.randint(0, 29)] = "zagri" + r.choice(["ka", "mo", "ten"])
+            for at in r.sample(range(30), 2):
+                words[at] = "zagri" + r.choice(["ka", "mo", "ten"])
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
     d = spark.createDataFrame(rows + [(None, None), (5, "x")], "doc_id bigint, text string")
