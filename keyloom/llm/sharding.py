@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import unused, written
 
 PROBES = 64
 TOLERANCE = 0.002
@@ -122,17 +122,20 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, id_col
     spark = docs.sparkSession
     rows = written(keyed(docs, id_col, text_col), "shard-keys")
     bounds = splitters(rows, shards, tolerance)
-    # Finer cuts of the key space only number the rows in parallel.
+    # Finer cuts of the key space only number the rows in parallel; rows are exchanged here and never again.
     fine = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("shard", _above(bounds)).repartitionByRange(fine, "shard", "h", "g", "doc_id")
-    dealt = written(dealt.sortWithinPartitions("shard", "h", "g", "doc_id").withColumn("part", F.spark_partition_id()), "shards")
-    sizes = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    dealt = dealt.sortWithinPartitions("shard", "h", "g", "doc_id", "text_crc32", "size")
+    # A row's number in its partition, and above it the partition's.
+    dealt = written(dealt.withColumn("place", F.monotonically_increasing_id()), "shards")
+    dealt = dealt.withColumn("part", F.shiftright("place", 33))
+    sizes = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    here = Window.partitionBy("shard", "part").orderBy("h", "g", "doc_id", "text_crc32", "size")
-    local = dealt.withColumn("k", F.row_number().over(here))
-    out = local.join(bases, ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("k") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # At most partitions plus shards rows, since ranges are contiguous: a proven broadcast bound.
+    bases = sizes.select("shard", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    out = dealt.join(F.broadcast(bases), ["shard", "part"])
+    slot = F.col("base") + F.col("place") - F.col("first")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_sharded(docs: DataFrame, out: str, shards: int = 8, tolerance: float = TOLERANCE) -> None:
@@ -140,5 +143,7 @@ def write_sharded(docs: DataFrame, out: str, shards: int = 8, tolerance: float =
     rows = written(keyed(docs), "shard-keys")
     bounds = splitters(rows, shards, tolerance)
     text = F.coalesce(F.col("text"), F.lit(""))
-    placed = docs.withColumns({"h": F.xxhash64(text), "g": F.xxhash64("doc_id")}).withColumn("shard", _above(bounds))
-    placed.repartitionByRange("shard", "h", "g").drop("h", "g").write.partitionBy("shard").parquet(out)
+    keys = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("h"), F.xxhash64("doc_id").alias("g"))
+    placed = keys.withColumn("shard", _above(bounds)).repartitionByRange("shard", "h", "g")
+    name = unused(docs, "shard")
+    placed.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .fingerprint import fingerprint, signed
-from .shared import attach, components, written
+from .shared import attach, components, unused, written
 
 DISTANCE = 3
 _PAIRS = 0x5555555555555555
@@ -81,7 +81,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, i
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate component, the one with the smallest id, with all columns."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")
-    kept = classes(docs).groupBy("root").agg(first).select(F.col("x.doc_id").alias("id"), F.col("x.th").alias("hash"))
-    mine = docs.withColumn("_th", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("hash"))
-    return mine.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th")
+    id_name, hash_name, mine = (unused(docs, c) for c in ("kept_id", "kept_hash", "text_hash"))
+    kept = classes(docs).groupBy("root").agg(first).select(F.col("x.doc_id").alias(id_name), F.col("x.th").alias(hash_name))
+    rows = docs.withColumn(mine, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.col(mine) == F.col(hash_name))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", mine]).drop(mine)

@@ -233,3 +233,19 @@ def test_drop_exact_copies_keeps_clashing_columns(spark):
     kept = exact_dedup.drop_exact_copies(d)
     assert kept.columns == d.columns and kept.count() == len({lower(t) for t in corpus(n=40)})
     assert kept.select(*[f"`{c}`" for c in names]).distinct().collect() == [names]
+
+
+def test_keep_one_of_each_keeps_clashing_columns(spark):
+    names = ("_th", "th", "text_hash", "kept_id", "kept_hash", "root", "fp")
+    d = docs(spark, corpus(n=30)).withColumns({c: F.lit(c) for c in names})
+    kept = simhash.keep_one_of_each(d)
+    assert kept.columns == d.columns and 0 < kept.count() < d.count()
+    assert kept.select(*names).distinct().collect() == [names]
+
+
+def test_sharded_files_keep_clashing_columns(spark, tmp_path):
+    d = docs(spark, corpus(n=30)).withColumns({c: F.lit(c) for c in ("h", "g", "shard", "row")})
+    sharding.write_sharded(d, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*d.columns, "shard_"} and back.count() == d.count()
+    assert back.select("h", "g", "shard", "row").distinct().collect() == [("h", "g", "shard", "row")]
