@@ -92,16 +92,24 @@ def dbsize(k: DataFrame, now_ms: int) -> DataFrame:
 def expire(k: DataFrame, requests: DataFrame, now_ms: int, unit: str = "s", absolute: bool = False, condition: str | None = None) -> DataFrame:
     """EXPIRE, PEXPIRE, EXPIREAT, PEXPIREAT: the new key table.
 
-    ``requests`` is ``key, amount``.  Amounts that are not positive are errors;
-    an instant that has passed deletes.  NX, XX, GT, LT look at the old expiry,
-    where none counts as infinite.
+    ``requests`` is ``key, amount`` and, where a key may be asked for more than
+    once, ``seq``, their order (without it, by amount).  Amounts that are not
+    positive are errors; an instant that has passed deletes.  NX, XX, GT, LT
+    look at the old expiry, where none counts as infinite.
     """
+    condition = condition and condition.lower()
+    # The net effect of a key's requests: of NX the first takes, of GT and LT the extreme, else the last.
+    order = F.struct(*[c for c in ("seq", "amount") if c in requests.columns])
+    net = {"nx": F.min_by("amount", order), "gt": F.max("amount"), "lt": F.min("amount")}.get(condition, F.max_by("amount", order))
+    requests = requests.groupBy(*by(k)).agg(net.alias("amount"), F.min("amount").alias("_least"))
     bad = F.raise_error(F.lit("invalid expire time")).cast("long")
     at = F.coalesce(absolute_expiry(F.col("amount"), unit, absolute, now_ms), bad)
-    out = live(k, now_ms).join(requests.withColumn("_at", at).drop("amount"), by(k), "left")
+    # One wrong amount is an error, whichever request takes.
+    at = F.when(F.col("_least") <= 0, bad).otherwise(at)
+    out = live(k, now_ms).join(requests.withColumn("_at", at).drop("amount", "_least"), by(k), "left")
     old = F.when(F.coalesce("expire_at_ms", F.lit(0)) == 0, F.lit(NEVER)).otherwise(F.col("expire_at_ms"))
     tests = {None: F.lit(True), "nx": old == NEVER, "xx": old != NEVER, "gt": F.col("_at") > old, "lt": F.col("_at") < old}
-    take = F.col("_at").isNotNull() & tests[condition and condition.lower()]
+    take = F.col("_at").isNotNull() & tests[condition]
     out = out.withColumn("expire_at_ms", F.when(take, F.col("_at")).otherwise(F.col("expire_at_ms")))
     return live(out, now_ms).select(*k.columns)
 

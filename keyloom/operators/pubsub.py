@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.patterns import glob, glob_regex
 
-#: Distinct patterns up to which their expressions are unrolled into the plan.
-PATTERNS = 2000
+#: Distinct patterns whose expressions are unrolled into one plan; more are matched in several.
+PATTERNS = 500
 
 
 def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -25,13 +25,14 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 def pattern_channels(channels: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """``channel, client, pattern`` for every pattern subscription that matches."""
     pats = subscriptions.filter("kind = 'pattern'").select("client", F.col("name").alias("pattern"))
-    names = [r.pattern for r in pats.select("pattern").distinct().limit(PATTERNS + 1).collect()]
-    if len(names) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} distinct patterns: match them in several calls")
+    names = sorted(r.pattern for r in pats.select("pattern").distinct().collect())
     empty = F.array().cast("array<string>")
-    tests = [F.when(F.col("channel").rlike(glob_regex(p)), F.array(F.lit(p))).otherwise(empty) for p in names]
-    hits = F.concat(*tests) if tests else empty
-    return channels.withColumn("pattern", F.explode(hits)).join(pats, "pattern").select("channel", "client", "pattern")
+    found = channels.withColumn("pattern", F.explode(empty))
+    for at in range(0, len(names), PATTERNS):
+        tests = [F.when(F.col("channel").rlike(glob_regex(p)), F.array(F.lit(p))).otherwise(empty) for p in names[at : at + PATTERNS]]
+        some = channels.withColumn("pattern", F.explode(F.concat(*tests)))
+        found = found.unionByName(some) if at else some
+    return found.join(pats, "pattern").select("channel", "client", "pattern")
 
 
 def publish_counts(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:

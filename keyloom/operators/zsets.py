@@ -74,16 +74,24 @@ def zadd(z: DataFrame, adds: DataFrame, nx: bool = False, xx: bool = False, gt:
     if nx and (xx or gt or lt) or gt and lt:
         raise ValueError("GT, LT, and/or NX options at the same time are not compatible")
     on = [*by(z), "member"]
+    old = F.col("old")
+    if not incr:
+        # The net effect is a mergeable aggregate: a member written often is reduced before the shuffle.
+        net = F.max("score") if gt else F.min("score") if lt else F.min_by("score", "seq") if nx else F.max_by("score", "seq")
+        both = z.withColumnRenamed("score", "old").join(adds.groupBy(*on).agg(net.alias("new")), on, "full")
+        new = F.col("new")
+        take = old.isNull() if nx else old.isNotNull() if xx else F.lit(True)
+        if gt or lt:
+            take = take & (old.isNull() | (new > old if gt else new < old))
+        both = both.withColumn("score", F.when(new.isNotNull() & take, new).otherwise(old))
+        return _added(z, both, new.isNotNull())
     new = adds.groupBy(*on).agg(
         F.sort_array(F.collect_list(F.struct("seq", "score"))).alias("xs"),
     )
     both = z.withColumnRenamed("score", "old").join(new, on, "full")
-    old = F.col("old")
 
     def step(state: Column, x: Column) -> Column:
-        value = x["score"]
-        if incr:
-            value = F.nanvl(F.coalesce(state, F.lit(0.0)) + value, F.raise_error(F.lit("resulting score is not a number (NaN)")).cast("double"))
+        value = F.nanvl(F.coalesce(state, F.lit(0.0)) + x["score"], F.raise_error(F.lit("resulting score is not a number (NaN)")).cast("double"))
         take = F.lit(True)
         if nx:
             take = state.isNull()
@@ -96,8 +104,13 @@ def zadd(z: DataFrame, adds: DataFrame, nx: bool = False, xx: bool = False, gt:
         return F.when(take, value).otherwise(state)
 
     score = F.when(F.col("xs").isNull(), old).otherwise(F.aggregate("xs", old, step))
-    both = both.withColumn("score", score)
-    reply = both.filter(F.col("xs").isNotNull()).groupBy(*by(z)).agg(
+    return _added(z, both.withColumn("score", score), F.col("xs").isNotNull())
+
+
+def _added(z: DataFrame, both: DataFrame, asked: Column) -> tuple[DataFrame, DataFrame]:
+    """The new table, and per key what was added and changed."""
+    old = F.col("old")
+    reply = both.filter(asked).groupBy(*by(z)).agg(
         F.count_if(old.isNull() & F.col("score").isNotNull()).alias("added"),
         F.count_if(old.isNotNull() & (F.col("score") != old)).alias("changed"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import absolute_expiry, format_float
 from ..operators.common import sample
 from ..operators.eviction import sweep
+from .fold import split_keys
 
 #: Verbs a log may hold after canonicalisation.
 CANONICAL = "SET DEL PEXPIREAT PERSIST APPEND SETRANGE INCRBY HSET HDEL HINCRBY SADD SREM ZADD ZREM RPUSH LPUSH RPUSHX LPUSHX LPOP RPOP LSET LTRIM LREM LINSERT MSET FLUSHDB FLUSHALL".split()
@@ -103,20 +104,23 @@ REBUILD = {"string": ("SET", ("value",)), "hash": ("HSET", ("field", "value")),
 def store_effects(kind: str, dst: bytes, elements: DataFrame, offset: int, db: int = 0, expire_at_ms: int = 0) -> DataFrame:
     """RENAME, COPY, SMOVE, LMOVE, SORT STORE, *STORE: delete the target, then rebuild it.
 
-    Elements that must keep an order (lists, by ``pos``) get ascending offsets.
+    All rows have the command's offset, so what is logged later stays later;
+    ``sub`` orders them: the delete, the elements (lists by ``pos``), the expiry.
     """
     verb, cols = REBUILD[kind]
     spark = elements.sparkSession
-    gone = spark.createDataFrame([(offset, db, bytearray(dst))], "offset bigint, db int, key binary")
-    rows = elements.withColumn("db", F.lit(db)).withColumn("key", F.lit(dst))
-    step = F.col("pos") + 1 if kind == "list" else F.lit(1)
-    rows = rows.withColumn("offset", (F.lit(offset) + step).cast("bigint"))
+    at = F.lit(offset).cast("bigint")
+    one = spark.range(1).select(at.alias("offset"), F.lit(db).alias("db"), F.lit(dst).alias("key"))
+    rows = elements.withColumns({"db": F.lit(db), "key": F.lit(dst), "offset": at, "sub": F.col("pos") + 1 if kind == "list" else F.lit(1)})
     args = [format_float(F.col(c)) if c == "score" else F.col(c) for c in cols]
-    out = effect(gone, "DEL").unionByName(effect(rows, verb, *args))
+    key = F.col("key").cast("binary")
+    made = rows.select("offset", F.col("sub").cast("bigint").alias("sub"), "db", F.lit(verb).alias("verb"), F.array(key, *[a.cast("binary") for a in args]).alias("args"))
+    out = effect(one, "DEL").withColumn("sub", F.lit(0).cast("bigint")).unionByName(made)
     if expire_at_ms:
-        last = rows.agg(F.max("offset").alias("last")).filter("last is not null").select((F.col("last") + 1).alias("offset"), F.lit(db).alias("db"), F.lit(dst).alias("key"))
-        out = out.unionByName(effect(last, "PEXPIREAT", F.lit(str(expire_at_ms))))
-    return out
+        last = effect(one, "PEXPIREAT", F.lit(str(expire_at_ms))).withColumn("sub", F.lit(1 << 38).cast("bigint"))
+        # Nothing was stored, nothing expires.
+        out = out.unionByName(last.join(F.broadcast(elements.limit(1).select()), how="left_semi"))
+    return out.select("offset", "sub", "db", "verb", "args")
 
 
 def transaction(requests: DataFrame, watched: DataFrame, log: DataFrame) -> DataFrame:
@@ -124,8 +128,14 @@ def transaction(requests: DataFrame, watched: DataFrame, log: DataFrame) -> Data
 
     ``requests``: ``txn, offset, ...``; ``watched``: ``txn, db, key, seen``, the
     log's offset at WATCH.  A later effect on a watched key drops the whole
-    transaction; all effects of one share its epoch.
+    transaction, whichever place the key has in its record; so does a later
+    flush of the key's database.  All effects of one share its epoch.
     """
-    touched = log.select("db", F.col("args")[0].alias("key"), "offset").groupBy("db", "key").agg(F.max("offset").alias("last"))
-    dirty = watched.join(touched, ["db", "key"]).filter("last > seen").select("txn").distinct()
-    return requests.join(dirty, "txn", "left_anti")
+    rows = split_keys(log)
+    touched = rows.filter("key IS NOT NULL").groupBy("db", "key").agg(F.max("offset").alias("last"))
+    flushes = rows.filter("key IS NULL").groupBy(F.when(F.col("verb") == "FLUSHDB", F.col("db")).alias("scope")).agg(F.max("offset").alias("flushed"))
+    seen = watched.withColumn("key", F.col("key").cast("binary")).join(touched.withColumn("key", F.col("key").cast("binary")), ["db", "key"], "left")
+    dirty = seen.filter("last > seen").select("txn")
+    # One row a database at most, and one for all of them.
+    swept = watched.join(F.broadcast(flushes), F.col("scope").isNull() | (F.col("scope") == F.col("db"))).filter("flushed > seen").select("txn")
+    return requests.join(dirty.unionByName(swept).distinct(), "txn", "left_anti")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.patterns import ScoreRange
 from ..functions.scalars import format_number, parse_float
 
 #: Verbs whose every argument is a key.
@@ -23,7 +24,8 @@ def split_keys(log: DataFrame) -> DataFrame:
     """One row a key: DEL and UNLINK take keys, MSET pairs; the rest have the key first.
 
     FLUSHDB and FLUSHALL stay as they are, with a null key.  ``sub`` orders the
-    rows of one record.  One pass, no union.
+    rows of one offset: the log's own, where it has that column, then a
+    record's parts.  One pass, no union.
     """
     verb, kind = F.upper(F.col("verb")), dict(log.dtypes)["args"]
     one = lambda v, key, args: F.struct(v.alias("verb"), key.alias("key"), args.alias("args"))
@@ -35,7 +37,10 @@ def split_keys(log: DataFrame) -> DataFrame:
         .when(verb.isin("FLUSHDB", "FLUSHALL"), F.array(one(verb, F.lit(None).cast("binary"), none)))
         .otherwise(F.array(one(verb, F.get("args", F.lit(0)), F.slice("args", F.lit(2), F.greatest(F.size("args") - 1, F.lit(0))))))
     )
-    return log.select("offset", "db", F.posexplode(items).alias("sub", "x")).select("offset", "db", "x.verb", "sub", "x.key", "x.args")
+    own = F.col("sub").cast("bigint") if "sub" in log.columns else F.lit(0).cast("bigint")
+    parts = log.select("offset", "db", own.alias("own"), F.posexplode(items).alias("part", "x"))
+    sub = F.shiftleft("own", 24) + F.col("part")
+    return parts.select("offset", "db", "x.verb", sub.alias("sub"), "x.key", "x.args")
 
 
 def _keeps() -> Column:
@@ -147,7 +152,10 @@ class State:
             self.clear()
 
     def apply(self, verb: str, args: list[bytes]) -> None:
-        getattr(self, "do_" + verb.lower())(*args)
+        done = getattr(self, "do_" + verb.lower(), None)
+        if done is None:
+            raise ValueError(f"{verb} is not a record of one key: it is resolved when written (plans.effects)")
+        done(*args)
         self.settle()
 
     def do_del(self):
@@ -229,6 +237,29 @@ class State:
     def do_zpopmax(self, n=b"1"):
         self._pop(n, True)
 
+    def _drop(self, gone):
+        for m in gone:
+            del self.value[m]
+
+    def do_zremrangebyrank(self, start, stop):
+        ranked = self._ranked()
+        a, b, n = int(start), int(stop), len(ranked)
+        self._drop(ranked[max(a + n if a < 0 else a, 0) : max((b + n if b < 0 else b) + 1, 0)])
+
+    def do_zremrangebyscore(self, lo, hi):
+        r = ScoreRange.parse(lo.decode(), hi.decode())
+        inside = lambda s: (s > r.lo if r.lo_open else s >= r.lo) and (s < r.hi if r.hi_open else s <= r.hi)
+        self._drop([m for m, s in self.need("zset", dict).items() if inside(s)])
+
+    def do_zremrangebylex(self, lo, hi):
+        def above(m, end):
+            return end == b"-" or end != b"+" and (m > end[1:] if end[:1] == b"(" else m >= end[1:])
+
+        def below(m, end):
+            return end == b"+" or end != b"-" and (m < end[1:] if end[:1] == b"(" else m <= end[1:])
+
+        self._drop([m for m in self.need("zset", dict) if above(m, lo) and below(m, hi)])
+
     def do_rpush(self, *values):
         self.need("list", list).extend(values)
 
@@ -302,7 +333,12 @@ def fold_ordered(rows: DataFrame) -> DataFrame:
 
 def fold(log: DataFrame) -> DataFrame:
     """All elements of the keyspace after a log, in the common element schema ``OUT``."""
-    rows = routed(split_keys(log))
+    return fold_split(split_keys(log))
+
+
+def fold_split(rows: DataFrame) -> DataFrame:
+    """The same for rows that are split by key already."""
+    rows = routed(rows)
     easy = rows.filter("route <> 'ordered'")
     sql = fold_associative(easy).join(expiries(easy), ["db", "key"], "left")
     sql = sql.withColumn("expire_at_ms", F.coalesce("expire_at_ms", F.lit(0))).withColumn("pos", F.lit(None).cast("bigint"))

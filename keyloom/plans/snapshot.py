@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import shard_of
-from .fold import fold, split_keys
+from .fold import fold_split, split_keys
 
 SHARDS = 16
 
@@ -51,30 +51,36 @@ def rebuild_records(elements: DataFrame) -> DataFrame:
         .otherwise(F.array("value"))
     )
     low = F.lit(-(1 << 62))
-    rows = elements.select((low + order).alias("offset"), "db", verb.alias("verb"), F.lit(0).alias("sub"), "key", args.alias("args"))
+    rows = elements.select((low + order).alias("offset"), "db", verb.alias("verb"), F.lit(0).cast("bigint").alias("sub"), "key", args.alias("args"))
     stamps = elements.filter("expire_at_ms > 0").select("db", "key", "expire_at_ms").distinct()
-    stamps = stamps.select(F.lit(-2).cast("bigint").alias("offset"), "db", F.lit("PEXPIREAT").alias("verb"), F.lit(0).alias("sub"), "key", F.array(F.col("expire_at_ms").cast("string").cast("binary")).alias("args"))
+    stamps = stamps.select(F.lit(-2).cast("bigint").alias("offset"), "db", F.lit("PEXPIREAT").alias("verb"), F.lit(0).cast("bigint").alias("sub"), "key", F.array(F.col("expire_at_ms").cast("string").cast("binary")).alias("args"))
     return rows.unionByName(stamps)
 
 
 def recover(snapshot: DataFrame, log: DataFrame, anchors: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Snapshot and log suffix folded: the elements a full fold of the log would give."""
+    check_flushes(log, anchors)
     rows = rebuild_records(snapshot).unionByName(suffix(log, anchors, shards))
-    flat = rows.select(
-        "offset",
-        "db",
-        "verb",
-        F.when(F.col("key").isNull(), F.col("args")).otherwise(F.concat(F.array("key"), F.col("args"))).alias("args"),
-    )
-    return fold(flat)
+    return fold_split(rows)
+
+
+def check_flushes(log: DataFrame, anchors: DataFrame) -> None:
+    """Refuse anchors that a flush or SWAPDB lies between: what of it the shards hold is not one state."""
+    lo, hi = anchors.agg(F.min("offset"), F.max("offset")).first()
+    if lo is None:
+        return
+    between = log.filter(F.upper("verb").isin("FLUSHDB", "FLUSHALL", "SWAPDB") & (F.col("offset") >= lo) & (F.col("offset") < hi))
+    if not between.isEmpty():
+        raise ValueError(f"a record on a whole database lies between the snapshot's anchors {lo} and {hi}")
 
 
 def check_gap(log: DataFrame, anchors: DataFrame) -> None:
-    """Refuse a log that begins after the snapshot or ends before it."""
+    """Refuse a log that begins after the snapshot or ends before it, or anchors on both sides of a flush."""
     first, last = log.agg(F.min("offset"), F.max("offset")).first()
     lo, hi = anchors.agg(F.min("offset"), F.max("offset")).first()
     if first is not None and lo is not None and (first > lo or last + 1 < hi):
         raise ValueError(f"log covers {first} to {last}, the snapshot needs {lo} to {hi}")
+    check_flushes(log, anchors)
 
 
 def compact(segments: DataFrame, anchors: DataFrame) -> DataFrame:
