@@ -181,7 +181,7 @@ def pubsub_numsub(spark, d):
 def watch_exec(spark, d):
     """Transactions that watch their user's key at its first effect run only if no later effect touched it."""
     e = table(spark, d, "events")
-    log = e.select(F.col("event_id").alias("offset"), F.lit(0).alias("db"), F.array(F.col("user_id").cast("string").cast("binary")).alias("args"))
+    log = e.select(F.col("event_id").alias("offset"), F.lit(0).alias("db"), F.lit("INCRBY").alias("verb"), F.array(F.col("user_id").cast("string").cast("binary")).alias("args"))
     w = e.groupBy(F.col("user_id").alias("txn")).agg(F.min("event_id").alias("offset"))
     watched = w.select("txn", F.lit(0).alias("db"), F.col("txn").cast("string").cast("binary").alias("key"), F.col("offset").alias("seen"))
     return effects.transaction(w, watched, log)
