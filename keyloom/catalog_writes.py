@@ -196,11 +196,12 @@ def zscan_match(spark, d):
     return _pages(lambda c: zsets.zscan(z, c, 4, match="*3?"), 4).select("key", "member", "score")
 
 
-@query("WITH m AS (SELECT user_id, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY user_id) SELECT user_id AS txn, first AS offset FROM m WHERE first = last")
+@query("WITH m AS (SELECT user_id, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY user_id) SELECT user_id AS txn, first AS offset FROM m WHERE first = last OR user_id % 2 = 0")
 def watch_multi_key(spark, d):
-    """The watched user is the second key of every later record."""
+    """The watched user is the second key of every record; even users are watched after their last one."""
     e = table(spark, d, "events")
-    first = e.groupBy(F.col("user_id").alias("txn")).agg(F.min("event_id").alias("offset"))
-    watched = first.select("txn", F.lit(0).alias("db"), F.col("txn").cast("string").cast("binary").alias("key"), F.col("offset").alias("seen"))
+    ends = e.groupBy(F.col("user_id").alias("txn")).agg(F.min("event_id").alias("offset"), F.max("event_id").alias("last"))
+    seen = F.when(F.col("txn") % 2 == 0, F.col("last")).otherwise(F.col("offset"))
+    first, watched = ends.drop("last"), ends.select("txn", F.lit(0).alias("db"), F.col("txn").cast("string").cast("binary").alias("key"), seen.alias("seen"))
     args = F.array(F.lit(b"other"), F.col("user_id").cast("string").cast("binary"))
     return effects.transaction(first, watched, e.select(F.col("event_id").alias("offset"), F.lit(0).alias("db"), F.lit("DEL").alias("verb"), args.alias("args")))
