@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.patterns import glob
 from ..functions.scalars import range_bounds
+from ..sources.shared import written
 
 
 def by(table: DataFrame) -> list[str]:
@@ -46,6 +47,41 @@ def indexed(table: DataFrame, order: list[Column], name: str = "idx") -> DataFra
     return table.withColumn(name, F.row_number().over(Window.partitionBy(*by(table)).orderBy(*order)) - 1)
 
 
+def running(table: DataFrame, order: list[Column], name: str, amount: Column | None = None, before: bool = False) -> DataFrame:
+    """A running total of each key's elements in ``order``, whatever the size of a key.
+
+    ``amount`` is what is added up (1 if absent, which numbers the elements
+    from 1); ``before`` leaves an element's own amount out.  Rows are dealt by
+    ranges of key and order and written, so one key may lie in many
+    partitions; totals run inside a partition and start from the sum of the
+    key's earlier partitions.  Only the first key of a partition can have such
+    a sum, so at most one row a partition is broadcast.
+    """
+    keys = by(table)
+    start, own, part = (unused(table, c) for c in ("start", "amount", "part"))
+    one = F.lit(1).cast("long") if amount is None else amount
+    dealt = table.withColumn(own, one).repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id())
+    dealt = written(dealt, "running")
+    sums = dealt.groupBy(part, *keys).agg(F.sum(own).alias("sum"))
+    # At most a row a partition and one a key; those of one key are one for each partition it lies in.
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, *keys, F.sum("sum").over(earlier).alias(start)).filter(F.col(start).isNotNull())
+    here = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    inside = dealt.withColumn(name, F.coalesce(F.sum(own).over(here), F.lit(0)))
+    same = [F.col(f"a.{part}") == F.col(f"b.{part}"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)]
+    both = inside.alias("a").join(F.broadcast(starts).alias("b"), same, "left")
+    total = F.col(f"a.{name}") + F.coalesce(F.col(f"b.{start}"), F.lit(0))
+    return both.select(*(F.col(f"a.`{c}`") for c in table.columns if c != name), total.alias(name))
+
+
+def unused(table: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in table.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def first_n(table: DataFrame, order: list[Column], n: int, name: str = "idx") -> DataFrame:
     """The first n elements of each key with their index from 0.
 

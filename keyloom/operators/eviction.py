@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by, seeded
+from .common import by, running, seeded
 from .live import expired
 
 POLICIES = ("noeviction", "allkeys-lru", "volatile-lru", "allkeys-lfu", "volatile-lfu", "allkeys-random", "volatile-random", "volatile-ttl")
 #: Ranges of the rank that partial sums are taken over.
 RANGES = 1024
+#: How often the range that holds the cut is cut again.
+PASSES = 3
 
 
 def sweep(k: DataFrame, now_ms: int) -> DataFrame:
@@ -18,7 +20,7 @@ def sweep(k: DataFrame, now_ms: int) -> DataFrame:
 
 
 def rank(policy: str, seed: int | str = 0) -> Column:
-    """What is evicted first has the lowest rank."""
+    """What is evicted first has the lowest rank; a key that was never accessed comes first."""
     if policy.endswith("lru"):
         return F.col("last_access_ms").cast("double")
     if policy.endswith("lfu"):
@@ -31,8 +33,10 @@ def rank(policy: str, seed: int | str = 0) -> Column:
 def evict(k: DataFrame, maxmemory: int, policy: str = "allkeys-lru", seed: int | str = 0, replica: bool = False) -> DataFrame:
     """The keys to evict until the sum of ``bytes`` is below ``maxmemory``.
 
-    The running total by rank is taken in two levels, so no task sees all keys:
-    sums of rank ranges first (a bounded number), then inside each range.
+    Sums of rank ranges (a bounded number) find the range that holds the cut,
+    which is cut again until its width is spent: what lies below goes whole.
+    Only the last range takes a running total, and that in many tasks, so
+    neither ranks close together nor equal ones gather in one.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
@@ -43,18 +47,28 @@ def evict(k: DataFrame, maxmemory: int, policy: str = "allkeys-lru", seed: int |
     excess = total - maxmemory + 1  # down to below the limit
     if excess <= 0:
         return k.limit(0).select(*by(k))
-    ranked = pool.select(*by(k), "bytes", rank(policy, seed).alias("rank"))
+    ranked = pool.select(*by(k), "bytes", F.coalesce(rank(policy, seed), F.lit(0.0)).alias("rank"))
     ends = ranked.agg(F.min("rank"), F.max("rank")).first()
-    lo, hi = (ends[0] or 0.0), (ends[1] or 0.0)
-    width = (hi - lo) / RANGES or 1.0
-    cut = ranked.withColumn("range", F.least(F.floor((F.col("rank") - lo) / width), F.lit(RANGES - 1)))
-    sums = cut.groupBy("range").agg(F.sum("bytes").alias("sum"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    starts = sums.select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    here = Window.partitionBy("range").orderBy("rank", *by(k)).rowsBetween(Window.unboundedPreceding, -1)
-    needed = cut.join(F.broadcast(starts.filter(F.col("start") < excess)), "range")
-    needed = needed.withColumn("freed", F.col("start") + F.coalesce(F.sum("bytes").over(here), F.lit(0)))
-    return needed.filter(F.col("freed") < excess).select(*by(k))
+    lo, hi, freed = (ends[0] or 0.0), (ends[1] or 0.0), 0
+    inside, below = F.lit(True), F.lit(False)
+    for _ in range(PASSES):
+        width = (hi - lo) / RANGES
+        if width <= 0 or lo + width == lo:
+            break
+        place = F.greatest(F.lit(0), F.least(F.floor((F.col("rank") - lo) / width), F.lit(RANGES - 1)))
+        sums = dict(ranked.filter(inside).groupBy(place.alias("range")).agg(F.sum("bytes")).collect())  # RANGES rows at most
+        cut = None
+        for r in sorted(sums):
+            if freed + sums[r] >= excess:
+                cut = r
+                break
+            freed += sums[r]
+        if cut is None:  # all of the pool is not enough
+            return ranked.select(*by(k))
+        inside, below = inside & (place == cut), below | (inside & (place < cut))
+        lo, hi = lo + cut * width, lo + (cut + 1) * width
+    last = running(ranked.filter(inside).select(F.lit(0).alias("db"), F.lit(0).alias("key"), "rank", "bytes", F.struct(*by(k)).alias("id")), [F.col("rank"), F.col("id")], "freed", F.col("bytes"), before=True)
+    return ranked.filter(below).select(*by(k)).unionByName(last.filter(F.col("freed") + F.lit(freed) < excess).select("id.*"))
 
 
 def access_counters(accesses: DataFrame, now_ms: int, start: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import format_float, getrange_bounds, parse_float, parse_int
-from .common import by
+from .common import by, running
 
 
 def get(s: DataFrame, keys: list) -> DataFrame:
@@ -51,10 +51,22 @@ def getdel(s: DataFrame, keys: list) -> tuple[DataFrame, DataFrame]:
     return s.filter(hit), s.filter(~hit)
 
 
-def incr_running(deltas: DataFrame, order: str = "seq") -> DataFrame:
-    """INCR, DECR, INCRBY, DECRBY replies: the running value of each counter."""
-    rows = Window.partitionBy(*by(deltas)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("value", F.sum("delta").over(rows))
+def incr_running(deltas: DataFrame, order: str = "seq", s: DataFrame | None = None) -> DataFrame:
+    """INCR, DECR, INCRBY, DECRBY replies: the running value of each counter.
+
+    A counter starts from its stored value in ``s``, or from zero.  A stored
+    value that is no integer, or a step beyond 64 bits, is an error.  One
+    counter may hold most rows: totals run in ranges of ``order``.
+    """
+    exact = running(deltas, [F.col(order)], "value", F.col("delta").cast("decimal(38,0)"))
+    if s is not None:
+        on = by(deltas)
+        bad = F.raise_error(F.lit("value is not an integer or out of range")).cast("long")
+        old = s.join(deltas.select(*on).distinct(), on, "left_semi").select(*on, F.coalesce(parse_int(F.col("value")), bad).alias("_old"))
+        exact = exact.join(old, on, "left").withColumn("value", F.col("value") + F.coalesce("_old", F.lit(0))).drop("_old")
+    over = F.raise_error(F.lit("increment or decrement would overflow")).cast("long")
+    fits = F.col("value").between(F.lit(-(1 << 63)).cast("decimal(38,0)"), F.lit((1 << 63) - 1).cast("decimal(38,0)"))
+    return exact.withColumn("value", F.when(fits, F.col("value").cast("long")).otherwise(over))
 
 
 def incrby(s: DataFrame, deltas: DataFrame) -> DataFrame:

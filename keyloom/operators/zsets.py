@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import LexRange, ScoreRange
-from .common import by, count, first_n, indexed, limited, page, replace_key, requested, sample, slice_range
+from .common import by, count, first_n, indexed, limited, page, replace_key, requested, running, sample, slice_range
 
 
 def order(rev: bool = False) -> list[Column]:
@@ -55,8 +55,8 @@ def zscore(z: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def zrank(z: DataFrame, rev: bool = False) -> DataFrame:
-    """ZRANK, ZREVRANK of every member, from 0."""
-    return indexed(z, order(rev), "rank")
+    """ZRANK, ZREVRANK of every member, from 0; one set may hold most members."""
+    return running(z, order(rev), "rank", before=True)
 
 
 def zrank_of(z: DataFrame, requests: DataFrame, rev: bool = False) -> DataFrame:
