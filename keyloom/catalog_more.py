@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .catalog import _F, _H, _K, _L, _LEX, _M, _Z, NOW_MS, customer_requests, customers, flag_parts, order_counts, order_fields, order_keys, part_names, query, user_events
 from .operators import eviction, generic, hashes, introspection, lists, pubsub, sets, sorting, strings, zsets
-from .plans import effects, registry
+from .plans import access, effects, positions, registry, server
+from .sources import wire
 from .sources.readers import table
 from .sources.shared import shared_folder
 from .streaming import jobs
@@ -202,7 +203,7 @@ def _stream(spark, d, ddl: str) -> DataFrame:
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
     name = f"stream_{uuid.uuid4().hex}"
-    return jobs.run_to_table(df, name, mode, f"{shared_folder(df.sparkSession)}/keyloom/{name}")
+    return jobs.run_to_table(df, name, mode)
 
 
 @query("SELECT event_type AS key, CAST(count(*) AS BIGINT) AS value, count(*) AS n FROM events GROUP BY event_type")
@@ -229,4 +230,104 @@ def stream_blocking_pops(spark, d):
         (F.col("user_id") % 50).cast("string").alias("queue"), F.col("event_id").alias("seq"), F.col("event_id").alias("at_ms"), F.when(pop, "pop").otherwise("push").alias("kind"),
         F.col("event_id").alias("client"), F.col("event_id").cast("string").alias("value"), F.lit(0).cast("bigint").alias("deadline_ms"),
     )
-    return _run(jobs.blocking_pops(s), "append")
+    return _run(jobs.blocking_pops(s), "append").drop("score")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS queue, max(event_id) AS client, CAST(max(event_id) AS VARCHAR) AS value, CAST(max(event_id) AS DOUBLE) AS score, max(event_id) + 1 AS seq FROM events GROUP BY user_id")
+def stream_bzpopmax(spark, d):
+    """BZPOPMAX: a pop that waits behind every user's events takes the member of the highest score."""
+    s = _stream(spark, d, "event_id bigint, user_id bigint, event_type string")
+    zero = F.lit(0).cast("bigint")
+    none = F.lit(None).cast("string")
+    push = F.struct(F.col("event_id").alias("seq"), F.lit("push").alias("kind"), zero.alias("client"), F.col("event_id").cast("string").alias("value"), F.col("event_id").cast("double").alias("score"), none.alias("side"))
+    last = _last_of_each(spark, d)
+    pop = F.struct((F.col("event_id") + 1).alias("seq"), F.lit("pop").alias("kind"), F.col("event_id").alias("client"), none.alias("value"), F.lit(None).cast("double").alias("score"), F.lit("max").alias("side"))
+    rows = s.join(last, ["user_id"]).withColumn("row", F.explode(F.when(F.col("event_id") == F.col("last"), F.array(push, pop)).otherwise(F.array(push))))
+    rows = rows.select(F.col("user_id").cast("string").alias("queue"), "row.*").withColumn("at_ms", F.col("seq")).withColumn("deadline_ms", zero)
+    return _run(jobs.blocking_pops(rows), "append")
+
+
+def _last_of_each(spark, d) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last"))
+
+
+# ---- access and server tables -------------------------------------------------------
+
+
+def _commands(spark, d) -> DataFrame:
+    """Events as commands: each type is a verb, every seventh a DEL, on keys of users."""
+    e = table(spark, d, "events")
+    verb = F.create_map(*(F.lit(x) for x in ("click", "GET", "view", "MGET", "purchase", "SET", "signup", "MSET")))
+    own, other = F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.concat(F.lit("user:"), (F.col("event_id") % 97).cast("string"))
+    args = F.array(own, other, other)
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 3 == 0, "reader").when(F.col("user_id") % 3 == 1, "writer").otherwise("stranger").alias("user"), F.when(F.col("event_id") % 7 == 0, "DEL").otherwise(F.coalesce(verb[F.col("event_type")], F.lit("PUBLISH"))).alias("verb"), args.alias("args"))
+
+
+_CMD = (
+    "c AS (SELECT event_id AS id, CASE user_id % 3 WHEN 0 THEN 'reader' WHEN 1 THEN 'writer' ELSE 'stranger' END AS user, "
+    "CASE WHEN event_id % 7 = 0 THEN 'DEL' ELSE CASE event_type WHEN 'click' THEN 'GET' WHEN 'view' THEN 'MGET' WHEN 'purchase' THEN 'SET' WHEN 'signup' THEN 'MSET' ELSE 'PUBLISH' END END AS verb, "
+    "'user:' || user_id AS own, 'user:' || (event_id % 97) AS other FROM events)"
+)
+
+
+@query(
+    f"WITH {_CMD}, k AS (SELECT *, CASE verb WHEN 'GET' THEN [own] WHEN 'SET' THEN [own] WHEN 'MGET' THEN [own, other, other] WHEN 'MSET' THEN [own, other] WHEN 'DEL' THEN [own, other, other] ELSE [] END AS keys FROM c) "
+    "SELECT id, CASE WHEN user = 'stranger' THEN 'user' WHEN user = 'reader' AND verb NOT IN ('GET', 'MGET') OR user = 'writer' AND verb = 'DEL' THEN 'command' "
+    "WHEN user = 'reader' AND len([x for x in keys if NOT regexp_matches(x, '^user:.*[0-4]$')]) > 0 THEN 'key' "
+    "WHEN user = 'writer' AND verb = 'PUBLISH' AND NOT regexp_matches(own, '^user:1') THEN 'channel' END AS denied FROM k"
+)
+def acl_decide(spark, d):
+    """ACL: which of the commands of all users may run."""
+    users = access.set_user(access.open_users(), "reader", ["on", "nopass", "~user:*[0-4]", "+@read"])
+    users = access.set_user(users, "writer", ["on", "nopass", "~*", "&user:1*", "+@all", "-del"])
+    return access.decide(_commands(spark, d), users).select("id", "denied")
+
+
+@query(f"WITH {_CMD} SELECT id, CASE verb WHEN 'GET' THEN own WHEN 'SET' THEN own WHEN 'MGET' THEN own || ',' || other || ',' || other WHEN 'MSET' THEN own || ',' || other WHEN 'DEL' THEN own || ',' || other || ',' || other ELSE '' END AS keys FROM c")
+def command_getkeys(spark, d):
+    return _commands(spark, d).select("id", F.array_join(positions.key_args(F.col("verb"), F.col("args")), ",").alias("keys"))
+
+
+@query(f"WITH {_CMD} SELECT id, '*4' || chr(13) || chr(10) || '$' || strlen(verb) || chr(13) || chr(10) || verb || chr(13) || chr(10) || '$' || strlen(own) || chr(13) || chr(10) || own || chr(13) || chr(10) || '$' || strlen(other) || chr(13) || chr(10) || other || chr(13) || chr(10) || '$' || strlen(other) || chr(13) || chr(10) || other || chr(13) || chr(10) AS request FROM c")
+def wire_requests(spark, d):
+    """Commands as the bytes of requests."""
+    return _commands(spark, d).select("id", wire.reply_bytes(F.concat(F.array("verb"), F.col("args")), "array").cast("string").alias("request"))
+
+
+def _timed(spark, d) -> DataFrame:
+    return _commands(spark, d).select("id", F.col("verb").alias("command"), (F.col("id") % 30_000).alias("micros"), (F.col("id") % 11 == 0).alias("failed"))
+
+
+@query(f"WITH {_CMD} SELECT CAST(least(count(*), 128) AS BIGINT) AS n FROM c WHERE id % 30000 >= 2000 AND id > 100")
+def slowlog_len(spark, d):
+    """SLOWLOG LEN after a reset at command 100."""
+    return server.slowlog_len(server.since_reset(_timed(spark, d), 100), 2000)
+
+
+@query(
+    f"WITH {_CMD}, k AS (SELECT o_orderkey % 16 AS db, o_orderkey FROM orders), s AS (SELECT lower(verb) AS command, count(*) AS calls, CAST(sum(id % 30000) AS BIGINT) AS usec, count(*) FILTER (WHERE id % 11 = 0) AS failed FROM c GROUP BY 1) "
+    "SELECT 'memory' AS section, 'maxmemory' AS name, '1048576' AS value UNION ALL SELECT 'memory', 'maxmemory-policy', 'allkeys-lru' UNION ALL SELECT 'stats', 'total_commands_processed', CAST(count(*) AS VARCHAR) FROM c "
+    "UNION ALL SELECT 'keyspace', 'db' || db, 'keys=' || count(*) || ',expires=0' FROM k GROUP BY db UNION ALL SELECT 'commandstats', 'cmdstat_' || command, 'calls=' || calls || ',usec=' || usec || ',failed_calls=' || failed FROM s"
+)
+def info_sections(spark, d):
+    k = table(spark, d, "orders").select((F.col("o_orderkey") % 16).alias("db"), F.col("o_orderkey").alias("key"), F.lit("hash").alias("type"), F.lit(0).cast("bigint").alias("expire_at_ms"))
+    config = server.config_set({}, {"maxmemory": "1m", "maxmemory-policy": "allkeys-lru"})
+    return server.info_sections(k, _timed(spark, d), config, NOW_MS)
+
+
+@query("WITH a AS (SELECT user_id % 5 AS replica, max(event_id) + 1 AS acked FROM events GROUP BY 1), t AS (SELECT max(event_id) + 1 AS target FROM events) SELECT target, count(*) FILTER (WHERE acked >= target) AS acked, count(*) FILTER (WHERE acked >= target) >= 1 AS enough FROM a, t GROUP BY target")
+def wait_quorum(spark, d):
+    """WAIT 1: replicas, of five, that have acknowledged the whole log."""
+    e = table(spark, d, "events")
+    acks = e.select((F.col("user_id") % 5).alias("replica"), (F.col("event_id") + 1).alias("offset"))
+    return server.wait(e.select(F.col("event_id").alias("offset")), acks, 1)
+
+
+@query(
+    "WITH t AS (SELECT event_id, CAST(100 AS BIGINT) + row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS value FROM events) SELECT event_type AS key, event_id AS seq, CAST(1 AS BIGINT) AS delta, t.value FROM events JOIN t USING (event_id)"
+)
+def incr_stored(spark, d):
+    """INCR replies from stored values: every counter stands at 100."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.lit(1).cast("bigint").alias("delta"))
+    stored = e.select("key").distinct().withColumn("value", F.lit("100"))
+    return strings.incr_running(e, s=stored)

@@ -150,8 +150,8 @@ BLPOP canonical - jobs.blocking_pops
 BRPOP canonical - jobs.blocking_pops
 BLMOVE canonical x jobs.blocking_pops
 BRPOPLPUSH canonical x jobs.blocking_pops
-BZPOPMIN canonical - zsets.zpop
-BZPOPMAX canonical - zsets.zpop
+BZPOPMIN canonical - jobs.blocking_pops
+BZPOPMAX canonical - jobs.blocking_pops
 transactions
 MULTI none - jobs.transactions
 EXEC none - effects.transaction
@@ -169,8 +169,8 @@ replication
 REPLICAOF none - jobs.follow
 SLAVEOF none - jobs.follow
 REPLCONF none - !wire
-PSYNC none - jobs.tail
-WAIT none - jobs.follow
+PSYNC none - server.sync_kind
+WAIT none - server.wait
 persistence
 SAVE none - snapshot.save
 BGSAVE none - snapshot.save
@@ -181,15 +181,15 @@ PING none - !wire
 ECHO none - !wire
 SELECT none - !wire
 SWAPDB verbatim x generic.swapdb
-AUTH none - !wire
+AUTH none - access.User
 HELLO none - !wire
 QUIT none - !wire
 RESET none - !wire
 CLIENT none - introspection.clients
 server
 COMMAND none - registry.frame
-CONFIG none - readers.load_config
-INFO none - introspection.info
+CONFIG none - server.config_set
+INFO none - server.info_sections
 FLUSHDB canonical x generic.flush
 FLUSHALL canonical x generic.flush
 TIME none - !wire
@@ -197,14 +197,14 @@ SHUTDOWN none - !wire
 SLOWLOG none - introspection.slowlog
 MEMORY none - introspection.memory_usage
 OBJECT none - introspection.collection_encoding
-DEBUG none - eviction.sweep
+DEBUG none - server.expire_cycle
 MONITOR none - jobs.tail
-ACL none - introspection.acl_keys
-CLUSTER none - !wire
+ACL none - access.decide
+CLUSTER none - server.cluster_info
 """
 #: Commands that are refused by decision.
 REFUSED = "EVAL EVALSHA EVAL_RO EVALSHA_RO SCRIPT FUNCTION FCALL FCALL_RO XADD XREAD XRANGE XLEN XINFO XGROUP DUMP RESTORE MIGRATE FAILOVER PFADD PFCOUNT PFMERGE BITFIELD LCS LATENCY SSUBSCRIBE SUNSUBSCRIBE SPUBLISH".split()
-_PLACES = {"effects": "plans", "snapshot": "plans", "registry": "plans", "jobs": "streaming", "readers": "sources"}
+_PLACES = {"effects": "plans", "snapshot": "plans", "registry": "plans", "server": "plans", "access": "plans", "positions": "plans", "jobs": "streaming", "readers": "sources"}
 
 
 @dataclass(frozen=True)

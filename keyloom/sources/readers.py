@@ -25,17 +25,19 @@ def append_log(effects: DataFrame, path: str, segment: int) -> None:
     effects.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment").parquet(path)
 
 
-_WORD = re.compile(r'"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\\')*)\'|(\S+)')
+_WORD = re.compile(r'"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\\')*)\'|([^ \t\n\v\f\r]+)')
+_SPACE = " \t\n\v\f\r"
 #: Escapes in double quotes.
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "a": "\a"}
 
 
-def parse_inline(line: str) -> list[bytes]:
-    """A command line with quoting: ``\\xHH`` and letter escapes in double quotes."""
+def parse_inline(line: str | bytes) -> list[bytes]:
+    """A command line with quoting: ``\\xHH`` and letter escapes in double quotes. Words are bytes as they stand."""
     out, at = [], 0
-    line = line.rstrip("\r\n")
+    # One character a byte, so that an escape is a byte and only ASCII spaces part words.
+    line = (line.encode() if isinstance(line, str) else line).decode("latin-1").rstrip("\r\n")
     while at < len(line):
-        if line[at].isspace():
+        if line[at] in _SPACE:
             at += 1
             continue
         m = _WORD.match(line, at)
@@ -43,13 +45,13 @@ def parse_inline(line: str) -> list[bytes]:
             raise ValueError("unbalanced quotes in request")
         if m[1] is not None:
             word = re.sub(r"\\(?:x([0-9a-fA-F]{2})|(.))", lambda e: chr(int(e[1], 16)) if e[1] else ESCAPES.get(e[2], e[2]), m[1])
-            out.append(word.encode("latin-1", "replace") if word.isascii() else word.encode())
+            out.append(word.encode("latin-1"))
         elif m[2] is not None:
-            out.append(m[2].replace("\\'", "'").encode())
+            out.append(m[2].replace("\\'", "'").encode("latin-1"))
         else:
-            out.append(m[3].encode())
+            out.append(m[3].encode("latin-1"))
         at = m.end()
-        if at < len(line) and not line[at].isspace():
+        if at < len(line) and not line[at] in _SPACE:
             raise ValueError("unbalanced quotes in request")
     return out
 
