@@ -174,8 +174,8 @@ WAIT none - server.wait
 persistence
 SAVE none - snapshot.save
 BGSAVE none - snapshot.save
-BGREWRITEAOF none - snapshot.compact
-LASTSAVE none - snapshot.snapshot_due
+BGREWRITEAOF none - snapshot.rewrite
+LASTSAVE none - snapshot.lastsave
 connection
 PING none - !wire
 ECHO none - !wire

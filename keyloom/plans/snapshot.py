@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import shard_of
+from ..sources import segments
 from .fold import fold_split, split_keys
 
 SHARDS = 16
@@ -14,14 +15,56 @@ def with_shard(df: DataFrame, key: str = "key", shards: int = SHARDS) -> DataFra
     return df.withColumn("shard", shard_of(F.col(key), shards))
 
 
-def save(elements: DataFrame, anchors: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """SAVE, BGSAVE: elements by database and shard, and the offset each shard's copy stands at."""
-    with_shard(elements, shards=shards).write.mode("overwrite").partitionBy("db", "shard").parquet(f"{path}/elements")
-    anchors.write.mode("overwrite").parquet(f"{path}/anchors")
+def _commits(spark: SparkSession, path: str) -> list:
+    """The latest commit of a snapshot folder, if it has one."""
+    if not segments.exists(spark, f"{path}/commits"):
+        return []
+    return spark.read.parquet(f"{path}/commits").orderBy(F.desc("generation")).limit(1).collect()
+
+
+def save(elements: DataFrame, anchors: DataFrame, path: str, shards: int = SHARDS, now_ms: int = 0) -> int:
+    """SAVE, BGSAVE: elements by database and shard, and the offset each shard's copy stands at; its generation.
+
+    Each generation has folders of its own, and one row written after them
+    makes it the snapshot: until then, and if the job dies, readers see the one
+    before.  A snapshot without anchors is an error.
+    """
+    spark = elements.sparkSession
+    lo, hi = anchors.agg(F.min("offset"), F.max("offset")).first()
+    if lo is None:
+        raise ValueError("a snapshot needs anchors")
+    done = _commits(spark, path)
+    generation = done[0]["generation"] + 1 if done else 1
+    at = f"{path}/{generation}"
+    with_shard(elements, shards=shards).write.mode("overwrite").partitionBy("db", "shard").parquet(f"{at}/elements")
+    anchors.write.mode("overwrite").parquet(f"{at}/anchors")
+    spark.createDataFrame([(generation, lo, hi, now_ms)], "generation bigint, first bigint, last bigint, at_ms bigint").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return generation
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/elements"), spark.read.parquet(f"{path}/anchors")
+    """Elements and anchors of the last committed snapshot."""
+    done = _commits(spark, path)
+    if not done:
+        raise ValueError(f"no committed snapshot in {path}")
+    at = f"{path}/{done[0]['generation']}"
+    return spark.read.parquet(f"{at}/elements"), spark.read.parquet(f"{at}/anchors")
+
+
+def lastsave(spark: SparkSession, path: str) -> int:
+    """LASTSAVE: when the last committed snapshot was taken, in seconds; 0 if there is none."""
+    done = _commits(spark, path)
+    return done[0]["at_ms"] // 1000 if done else 0
+
+
+def rewrite(spark: SparkSession, log_path: str, path: str) -> list[int]:
+    """BGREWRITEAOF: delete log segments wholly below every anchor of the committed snapshot, and older generations; the segments."""
+    done = _commits(spark, path)
+    if not done:
+        return []
+    for old in range(1, done[0]["generation"]):
+        segments.delete(spark, f"{path}/{old}")
+    return segments.prune(spark, log_path, done[0]["first"])
 
 
 def suffix(log: DataFrame, anchors: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -83,10 +126,10 @@ def check_gap(log: DataFrame, anchors: DataFrame) -> None:
     check_flushes(log, anchors)
 
 
-def compact(segments: DataFrame, anchors: DataFrame) -> DataFrame:
-    """BGREWRITEAOF: segments (``segment, first, last``) wholly below every anchor may be dropped."""
+def compact(bounds: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Which segments (``segment, first, last``) are wholly below every anchor and may be dropped."""
     low = anchors.agg(F.min("offset")).first()[0]
-    return segments.filter(F.col("last") < (low if low is not None else -(1 << 62)))
+    return bounds.filter(F.col("last") < (low if low is not None else -(1 << 62)))
 
 
 def snapshot_due(now_s: int, last_s: int, log_bytes: int, base_bytes: int, interval_s: int = 3600, percentage: int = 100, min_bytes: int = 64 << 20) -> bool:
