@@ -79,6 +79,12 @@ def test_config(tmp_path, monkeypatch):
 
 def test_binary_log(spark, tmp_path):
     assert binary_log.crc32c(b"123456789") == 0xE3069283
+    for n in (8191, 8192, 8193, 70_001):
+        data = bytes(i * i % 251 for i in range(n))
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc = binary_log._CRC[(crc ^ b) & 255] ^ crc >> 8
+        assert binary_log.crc32c(data) == crc ^ 0xFFFFFFFF
     records = [(0, [b"SET", b"k", b"v\r\n\x00"]), (3, [b"del", b"k"])]
     data = binary_log.encode_segment(records, b"TESTLOG1", base=100)
     (tmp_path / "a.seg").write_bytes(data + b"\x05\x00")
